@@ -1,0 +1,37 @@
+"""Session settings the operators rely on."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Pin the settings results depend on; leave sizing to the cluster's own configuration."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for cut lineage: the cluster's setting, or a local one when none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if named:
+        if current is None:
+            context.setCheckpointDir(named)
+        return named
+    if current is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagegauge-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder, so lost executors cost one read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
