@@ -126,6 +126,34 @@ class Ordered:
             out = out.select("*", *added)
         return replace(self, df=out.drop(*temporary))
 
+    def recent(self, name: str, value: Column, n: int) -> "Ordered":
+        """Add the values of the last ``n`` rows, this one included, oldest first.
+
+        A slice hands on its last ``n`` rows; a slice holds at least one row, so the ``n``
+        slices before it are enough.
+        """
+        held = F.struct(value.alias("v"))
+        place = F.row_number().over(self._window(descending=True))
+        last_rows = (
+            self.df.select(*self.keys, SLICE, *[c for c in self.order], held.alias("__held"), place.alias("__place"))
+            .where(F.col("__place") <= n)
+            .groupBy(*self.keys, SLICE)
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col("__place")).alias("i"), "__held"))).alias("__tail"))
+        )
+        near = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(-n, -1)
+        carry = last_rows.select(
+            *self.keys,
+            SLICE,
+            F.transform(F.flatten(F.collect_list("__tail").over(near)), lambda r: r["__held"]).alias("__carry"),
+        )
+        here = self._window().rowsBetween(-(n - 1), Window.currentRow)
+        joined = F.concat(F.col("__carry"), F.collect_list(held).over(here))
+        rows = self.df.join(carry, [*self.keys, SLICE]).withColumn("__joined", joined)
+        size = F.size("__joined")
+        taken = F.slice("__joined", F.greatest(F.lit(1), size - (n - 1)), F.lit(n))
+        out = rows.withColumn(name, F.transform(taken, lambda r: r["v"]))
+        return replace(self, df=out.drop("__carry", "__joined"))
+
     def result(self) -> DataFrame:
         return self.df.drop(SLICE)
 
@@ -210,3 +238,16 @@ def interval_join(
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def trailing(df: DataFrame, keys: list[str], at: str, value: Column, name: str, span: int, width: int) -> DataFrame:
+    """Each row with the values of its key's rows at most ``span`` before it, itself included.
+
+    Rows near the end of a slice are repeated into the slices they can be seen from.
+    """
+    first = F.floor(F.col(at) / F.lit(width)).cast("bigint")
+    last = F.floor((F.col(at) + span) / F.lit(width)).cast("bigint")
+    spread = df.withColumn("__home", first).withColumn(SLICE, F.explode(F.sequence(first, last)))
+    seen = Window.partitionBy(*keys, SLICE).orderBy(at).rangeBetween(-span, Window.currentRow)
+    held = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), value.alias("v"))).over(seen))
+    return spread.withColumn(name, held).where(F.col("__home") == F.col(SLICE)).drop("__home", SLICE)
