@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.functions import geometry as g
+from pagegauge.functions.staging import once
 from pagegauge.operators.ordered import ordered
 from pagegauge.plans.registry import Tables, view
 
@@ -287,7 +288,7 @@ def detections(t: Tables) -> DataFrame:
         .when(production & (slot == 21), reordered(1, 2, 3, 0))
         .otherwise(raw)
     )
-    rows = rows.withColumn("quad", quad)
+    rows = once(rows, {"quad": quad})
     return rows.select(
         "scene_id",
         "family",
