@@ -1,0 +1,118 @@
+"""Personal data and secrets in text tables; names and ids as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# What must not appear in a text, by name.
+PATTERNS = {
+    "CPF": r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b",
+    "CNPJ": r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b",
+    "BR phone": r"\b(?:\+55\s?)?\(?\d{2}\)?\s?9?\d{4}[-\s]?\d{4}\b",
+    "e-mail": r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}\b",
+    "CNS (cartao SUS)": r"\b\d{3}\s?\d{4}\s?\d{4}\s?\d{4}\b",
+    "private key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "AWS key id": r"\bAKIA[0-9A-Z]{16}\b",
+    "bearer-ish secret": r"""(?i)\b(?:secret|password|passwd|token)\s*[:=]\s*["'][^"'\s]{12,}["']""",
+}
+# Hosts and number shapes that are nobody's.
+ALLOWED_HOST = r"^(example\.(com|org|net)|localhost|test)$"
+ALLOWED_NUMBERS = ["000.000.000-00", "00000000000"]
+NEEDS_SEPARATOR = {"BR phone": r"[()\-\s]", "CNS (cartao SUS)": r"\s"}
+MAX_TEXT_BYTES = 2_000_000
+ALLOW_FILE, ALLOW_LINE = "pii-guard: allow-file", "pii-guard: allow-line"
+
+# File kinds and places.
+MEDIA = "png jpg jpeg heic heif webp gif bmp tif tiff avif pdf mp4 mov webm avi dcm svg".split()
+TEXT_KINDS = "ts tsx js jsx mjs cjs json md css html yml yaml rs toml sh txt env".split()
+MEDIA_HOMES = ["fixtures/", "assets/"]
+FORBIDDEN_PATHS = [
+    r"(^|/)data/",
+    r"(^|/)parity/fixtures/",
+    r"(^|/)detect-bench/(samples|captures|photos|videos)/",
+    r"(^|/)pii_free(/|$)",
+]
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def admitted(texts: DataFrame, text: str) -> DataFrame:
+    """Texts worth scanning: not over the size limit and not marked as allowed."""
+    return texts.where((F.octet_length(text) <= MAX_TEXT_BYTES) & ~F.contains(F.col(text), F.lit(ALLOW_FILE)))
+
+
+def pii_hits(texts: DataFrame, key: str, text: str, personas: list[str] | None = None) -> DataFrame:
+    """One row per line and match: ``key, line_no, pattern, hit``. Whole texts, line by line."""
+    lines = admitted(texts, text).select(key, F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    lines = lines.where(~F.contains("line", F.lit(ALLOW_LINE)))
+    lower = F.lower("line")
+    excused = F.lit(False)
+    for name in [*ALLOWED_NUMBERS, *(personas or [])]:
+        excused = excused | F.contains(lower, F.lit(name))
+    found = F.array(
+        *[
+            F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("hits"))
+            for name, p in PATTERNS.items()
+        ]
+    )
+    rows = lines.where(~excused).select(key, (F.col("i") + 1).alias("line_no"), F.inline(found))
+    rows = rows.select(key, "line_no", "pattern", F.explode("hits").alias("hit"))
+    host = F.lower(F.substring_index("hit", "@", -1))
+    allowed = F.contains("hit", F.lit("@")) & host.rlike(ALLOWED_HOST)
+    bare = F.lit(False)
+    for name, needed in NEEDS_SEPARATOR.items():
+        bare = bare | ((F.col("pattern") == name) & ~F.col("hit").rlike(needed))
+    return rows.where(~allowed & ~bare)
+
+
+def path_problems(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files in forbidden places, and media outside the folders media may live in."""
+    forbidden = F.lit(False)
+    for p in FORBIDDEN_PATHS:
+        forbidden = forbidden | F.col(path).rlike(p)
+    home = F.lit(False)
+    for h in MEDIA_HOMES:
+        home = home | F.startswith(F.col(path), F.lit(h))
+    media = extension(F.col(path)).isin(MEDIA)
+    problems = F.array_compact(
+        F.array(F.when(forbidden, "forbidden path"), F.when(media & ~home, "media outside its folders"))
+    )
+    return files.select(path, F.explode(problems).alias("problem"))
+
+
+def unproven_fixtures(files: DataFrame, provenance: DataFrame, path: str = "path") -> DataFrame:
+    """Media fixtures without a provenance row of their base name."""
+    media = files.where(F.startswith(F.col(path), F.lit("fixtures/")) & extension(F.col(path)).isin(MEDIA))
+    return media.withColumn("name", F.element_at(F.split(path, "/"), -1)).join(
+        provenance.select("name"), "name", "left_anti"
+    )
+
+
+# Letters and what they are without their accents.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăąćčďđęěğįłńňőřśşšťůűźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaccddeegilnnorssstuuzzz"
+SLUG_MAX = 24
+FALLBACK_SLUG = "documento"
+
+
+def slug(name: Column, fallback: str = FALLBACK_SLUG) -> Column:
+    """Lower-case words joined by dashes, at most 24 letters, without accents; ``fallback`` when empty."""
+    lowered = F.translate(F.lower(F.coalesce(name, F.lit(""))), ACCENTED, PLAIN)
+    dashed = F.regexp_replace(F.regexp_replace(lowered, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", "-")
+    trimmed = F.regexp_replace(dashed, r"^-+|-+$", "")
+    short = F.regexp_replace(F.substring(trimmed, 1, SLUG_MAX), r"-+$", "")
+    return F.when(short == "", fallback).otherwise(short)
+
+
+def pdf_file_name(name: Column, at: Column) -> Column:
+    """``yyyyMMdd-HHmm_slug.pdf`` in the session's time zone."""
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmm"), F.lit("_"), slug(name), F.lit(".pdf"))
+
+
+def natural_key(name: Column, digits: int = 12) -> Column:
+    """Sort key under which numbers in a name order as numbers (9 before 10)."""
+    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * digits + "$1")
+    return F.regexp_replace(padded, r"0*(\d{" + str(digits) + r"})", "$1")

@@ -174,14 +174,16 @@ def watch_onset(t: Tables) -> DataFrame:
     f AS (SELECT session_id, event_id, nth, CAST(charge AS DOUBLE) AS cost FROM p WHERE nth = 1 UNION ALL
           SELECT p.session_id, p.event_id, p.nth, f.cost * CAST(0.7 AS DOUBLE) + p.charge * CAST(0.3 AS DOUBLE)
           FROM f JOIN p ON p.session_id = f.session_id AND p.nth = f.nth + 1)
-    SELECT session_id, event_id, round(cost, 6) AS cost_ms,
-           round(least(CAST(400 AS DOUBLE), greatest(CAST(120 AS DOUBLE), cost / CAST(0.35 AS DOUBLE))), 6) AS interval_ms
+    SELECT session_id, event_id, round(cost + 1e-9, 6) AS cost_ms,
+           round(least(CAST(400 AS DOUBLE), greatest(CAST(120 AS DOUBLE), cost / CAST(0.35 AS DOUBLE))) + 1e-9, 6) AS interval_ms
     FROM f
     """,
 )
 def ewma_cost(t: Tables) -> DataFrame:
     rows = sq.cost_average(b.samples(t), 5 + F.col("value"), duty=0.35, low=120.0, high=400.0)
-    return rounded(rows.select("session_id", "event_id", "cost_ms", "interval_ms"))
+    # Costs carry few decimals, so exact ties at the sixth place occur: both sides are nudged off them.
+    nudged = [(F.col(c) + 1e-9).alias(c) for c in ("cost_ms", "interval_ms")]
+    return rounded(rows.select("session_id", "event_id", *nudged))
 
 
 # ── hints ────────────────────────────────────────────────────────────────────
