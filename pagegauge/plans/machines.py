@@ -439,10 +439,10 @@ def sliding_motion(t: Tables) -> DataFrame:
 @query(
     "session_windows",
     """
-    SELECT user_id AS session_id, epoch_ms(min(ts)) AS from_ms, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM (
-      SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
-        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk
-        FROM events)) GROUP BY user_id, run
+    SELECT session_id, min(t) AS from_ms, max(t) AS last_ms, count(*) AS n FROM (
+      SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY t, event_id) AS run FROM (
+        SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id ORDER BY t, event_id) < 21600000 THEN 0 ELSE 1 END AS brk
+        FROM (SELECT user_id AS session_id, event_id, epoch_us(ts) // 1000 AS t FROM events))) GROUP BY session_id, run
     """,
 )
 def session_windows(t: Tables) -> DataFrame:

@@ -187,8 +187,8 @@ def natural_page_order(t: Tables) -> DataFrame:
 @query(
     "date_functions",
     """
-    SELECT event_id, epoch_ms(ts) AS at_ms, strftime(ts, '%Y%m%d-%H%M') AS stamp,
-           epoch_ms(ts) - epoch_ms(date_trunc('day', ts)) AS ms_of_day FROM events
+    SELECT event_id, epoch_us(ts) // 1000 AS at_ms, strftime(ts, '%Y%m%d-%H%M') AS stamp,
+           epoch_us(ts) // 1000 - epoch_us(date_trunc('day', ts)::TIMESTAMP) // 1000 AS ms_of_day FROM events
     """,
 )
 def date_functions(t: Tables) -> DataFrame:
@@ -232,7 +232,7 @@ def map_functions(t: Tables) -> DataFrame:
 @query(
     "math_functions",
     """
-    SELECT event_id, round(1 / (1 + (1 / (2 * pi() * (1 + value))) / 0.1), 6) AS alpha, least(400, greatest(120, value * 3)) AS clamped,
+    SELECT event_id, round(1 / (1 + (1 / (2 * pi() * (1 + value))) / 0.1), 6) AS alpha, round(least(400, greatest(120, value * 3)), 6) AS clamped,
       round(CASE WHEN value <= 10 THEN 0.2 * value WHEN value <= 50 THEN 2 + (value - 10) * 0.1 WHEN value <= 200 THEN 6 + (value - 50) * 0.02 ELSE 9 END, 6) AS curve
     FROM events
     """,
