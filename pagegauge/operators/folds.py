@@ -81,7 +81,12 @@ def fold(df: DataFrame, keys: list[str], order: list[str], machine: Machine, wid
             out[name] = pd.Series([o[i] for o in outs], dtype="object")
         return out
 
-    return ready.groupBy(*by).applyInPandas(with_outputs, f"{schema}, {machine.outputs}")
+    return _dealt(ready, by).groupBy(*by).applyInPandas(with_outputs, f"{schema}, {machine.outputs}")
+
+
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Slices over all the shuffle partitions: Python work is heavy per byte, so none are merged for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _entry_states(sliced: DataFrame, keys: list[str], order: list[str], machine: Machine, start: str) -> DataFrame | None:
@@ -106,7 +111,7 @@ def _entry_states(sliced: DataFrame, keys: list[str], order: list[str], machine:
 
     def exits(todo: DataFrame) -> DataFrame:
         rows = sliced.join(todo, by)
-        return rows.groupBy(*by).applyInPandas(last_state, f"{schema}, {SLICE} bigint, {ENTRY} string")
+        return _dealt(rows, by).groupBy(*by).applyInPandas(last_state, f"{schema}, {SLICE} bigint, {ENTRY} string")
 
     todo = places.withColumn(ENTRY, F.lit(start))
     entries = cut(exits(todo))

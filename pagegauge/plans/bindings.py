@@ -9,6 +9,7 @@ from pagegauge.functions import geometry as g
 from pagegauge.functions.staging import once
 from pagegauge.operators.ordered import ordered
 from pagegauge.plans.registry import Tables, view
+from pagegauge.session import spread
 
 SLICE_MS = 60_000
 ID_SLICE = 65_536
@@ -227,7 +228,7 @@ view(
 
 
 def vectors(t: Tables) -> DataFrame:
-    return t.embeddings.select(
+    return spread(t.embeddings).select(
         F.col("vec_id").alias("scene_id"),
         "label",
         F.concat(F.lit("F"), (F.col("label") % 5).cast("string")).alias("family"),
@@ -365,7 +366,7 @@ view(
 
 def luma(t: Tables) -> DataFrame:
     level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.col("v").cast("double") + 0.5)))
-    return t.embeddings.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v")).select(
+    return spread(t.embeddings).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v")).select(
         "image_id",
         F.expr("i div 8").alias("y"),
         (F.col("i") % 8).cast("bigint").alias("x"),

@@ -495,7 +495,21 @@ def conflate_latest(t: Tables) -> DataFrame:
     return seen.where("act = 'push'").select("session_id", "event_id", by.alias("displaced_by"))
 
 
-@query("detect_queue")
+_TAKE = "(r.event_type IN ('signup', 'click'))"
+_CAPTURE = "(r.event_type = 'purchase')"
+
+
+@query(
+    "detect_queue",
+    recursive(
+        "CAST(NULL AS BIGINT) AS live, CAST([] AS BIGINT[]) AS waiting, CAST(NULL AS BIGINT) AS displaced, CAST(NULL AS BIGINT) AS taken",
+        f"CASE WHEN {_TAKE} THEN CASE WHEN len(f.waiting) > 0 THEN f.live END WHEN {_CAPTURE} THEN f.live ELSE r.event_id END, "
+        f"CASE WHEN {_TAKE} THEN f.waiting[2:] WHEN {_CAPTURE} THEN list_append(f.waiting, r.event_id) ELSE f.waiting END, "
+        f"CASE WHEN NOT {_TAKE} AND NOT {_CAPTURE} THEN f.live END, CASE WHEN {_TAKE} THEN coalesce(f.waiting[1], f.live) END",
+        "displaced, taken",
+        "",
+    ),
+)
 def detect_queue(t: Tables) -> DataFrame:
     """The whole queue: live jobs conflate, captures wait in order and are taken first."""
     kind = F.col("event_type")
@@ -509,7 +523,24 @@ def detect_queue(t: Tables) -> DataFrame:
     return fold(rows, m.CONFLATE).select("session_id", "event_id", "displaced", "taken")
 
 
-@query("nearest_unique_match")
+@query(
+    "nearest_unique_match",
+    """
+    WITH RECURSIVE fires AS MATERIALIZED (
+      SELECT c.session_id, c.event_id, row_number() OVER (PARTITION BY c.session_id ORDER BY c.t, c.event_id) AS nth, coalesce(p.near, []) AS near
+      FROM fx_samples c LEFT JOIN (
+        SELECT c.event_id, list(p.event_id ORDER BY abs(c.t - p.t), p.t) AS near FROM fx_samples c JOIN fx_samples p
+          ON p.session_id = c.session_id AND p.event_type = 'view' AND p.t BETWEEN c.t - 250 AND c.t + 50
+        WHERE c.event_type = 'purchase' GROUP BY c.event_id) p USING (event_id) WHERE c.event_type = 'purchase'),
+    f AS (
+      SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS probe_id, CAST([] AS BIGINT[]) AS used FROM fires
+      UNION ALL
+      SELECT r.session_id, r.nth, r.event_id, list_filter(r.near, lambda x: NOT list_contains(f.used, x))[1],
+        CASE WHEN len(list_filter(r.near, lambda x: NOT list_contains(f.used, x))) > 0 THEN list_append(f.used, list_filter(r.near, lambda x: NOT list_contains(f.used, x))[1]) ELSE f.used END
+      FROM f JOIN fires r ON r.session_id = f.session_id AND r.nth = f.nth + 1)
+    SELECT session_id, event_id, probe_id FROM f WHERE nth > 0
+    """,
+)
 def nearest_unique_match(t: Tables) -> DataFrame:
     """Each fire with its own probe: the nearest in 250 ms before to 50 ms after, used once, in fire order."""
     kind = F.col("event_type")

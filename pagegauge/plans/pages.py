@@ -309,7 +309,27 @@ def label_upsert(t: Tables) -> DataFrame:
 ACTIONS = ["add", "add", "add", "rotate", "move", "retake", "remove", "add"]
 
 
-@query("page_state_fold")
+_FIND = "len(list_filter(f.pages, lambda p: p.id = r.page)) > 0"
+_NEXT = f"""CASE r.action
+      WHEN 'add' THEN CASE WHEN {_FIND} OR len(f.pages) >= 20 THEN f.pages ELSE list_append(f.pages, struct_pack(id := r.page, rev := 1::BIGINT, rot := 0::BIGINT)) END
+      WHEN 'remove' THEN list_filter(f.pages, lambda p: p.id <> r.page)
+      WHEN 'move' THEN list_concat(list_filter(f.pages, lambda p: p.id = r.page), list_filter(f.pages, lambda p: p.id <> r.page))
+      WHEN 'rotate' THEN list_transform(f.pages, lambda p: CASE WHEN p.id = r.page THEN struct_pack(id := p.id, rev := p.rev + 1, rot := (p.rot + 90) % 360) ELSE p END)
+      ELSE list_transform(f.pages, lambda p: CASE WHEN p.id = r.page THEN struct_pack(id := p.id, rev := p.rev + 1, rot := 0::BIGINT) ELSE p END) END"""
+
+
+@query(
+    "page_state_fold",
+    f"""
+    WITH RECURSIVE acts AS MATERIALIZED (
+      SELECT conv_id, turn, action, CASE WHEN action = 'add' THEN turn ELSE conv_id % 3 END AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth
+      FROM (SELECT *, {b.sql_pick(ACTIONS, 'turn % 8')} AS action FROM conversations)),
+    f AS (
+      SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS turn, CAST([] AS STRUCT(id BIGINT, rev BIGINT, rot BIGINT)[]) AS pages FROM acts
+      UNION ALL SELECT r.conv_id, r.nth, r.turn, {_NEXT} FROM f JOIN acts r ON r.conv_id = f.conv_id AND r.nth = f.nth + 1)
+    SELECT conv_id, turn, CAST(len(pages) AS INTEGER) AS page_count, array_to_string(list_transform(pages, lambda p: p.id || ':' || p.rev || ':' || p.rot), '|') AS pages FROM f WHERE nth > 0
+    """,
+)
 def page_state_fold(t: Tables) -> DataFrame:
     """Pages of each document after every event, in order, with revision and rotation."""
     turn = F.col("turn")

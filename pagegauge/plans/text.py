@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegauge.operators import text as tx
 from pagegauge.plans.detection import rounded
 from pagegauge.plans.registry import Tables, query, view
+from pagegauge.session import spread
 
 # The same patterns in the twin's dialect (RE2: \s and \w are ASCII there, as in Java's default).
 _UNION = " UNION ALL ".join(
@@ -34,7 +35,7 @@ view(
 
 @query("pii_scan", "SELECT doc_id, line_no, pattern, hit FROM fx_pii")
 def pii_scan(t: Tables) -> DataFrame:
-    return tx.pii_hits(t.documents, "doc_id", "text")
+    return tx.pii_hits(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
 
 
 @query(
@@ -42,7 +43,7 @@ def pii_scan(t: Tables) -> DataFrame:
     "SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM fx_pii GROUP BY pattern HAVING count(*) > 0",
 )
 def pii_summary(t: Tables) -> DataFrame:
-    hits = tx.pii_hits(t.documents, "doc_id", "text")
+    hits = tx.pii_hits(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
     per_document = hits.groupBy("pattern", "doc_id").agg(F.count("*").alias("n"))
     return per_document.groupBy("pattern").agg(F.sum("n").alias("hits"), F.count("*").alias("documents"))
 

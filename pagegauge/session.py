@@ -12,9 +12,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Methods over this size are never compiled by the JVM; the split projections are.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Geometry and Python folds are heavy per byte: small shuffles keep their parallelism.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out before heavy per-row work; others are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's setting, or a local one when none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
