@@ -15,7 +15,7 @@ columns of the input are kept as they are when their names do not clash with the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,8 +151,6 @@ def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3)
         .groupBy(*keys, "level", "measure", "bin")
         .agg(F.sum("n").alias("n"))
     )
-    from pyspark.sql import Window
-
     whole = Window.partitionBy(*keys, "level", "measure")
     ranked = merged.withColumns(
         {
@@ -172,30 +170,16 @@ def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3)
         F.max("total").alias("total"),
         *[F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}") for m in MEASURES for x in ("low", "high")],
     )
-    bounds = [f"{m}_{x}" for m in MEASURES for x in ("low", "high")]
-    finest = per_group.filter(F.col("level") == groups).select(*keys)
-    found = finest
-    for level in range(groups, -1, -1):
-        names = [f"l{level}_{c}" for c in ["total", *bounds]]
-        side = per_group.filter(F.col("level") == level).select(
-            *[F.col(k).alias(f"r{level}_{k}") for k in keys[:level]], *[F.col(c).alias(n) for c, n in zip(["total", *bounds], names, strict=True)]
-        )
-        on = F.lit(True)
-        for k in keys[:level]:
-            on &= F.col(k).eqNullSafe(F.col(f"r{level}_{k}"))
-        if level:
-            found = found.join(side, on, "left").drop(*[f"r{level}_{k}" for k in keys[:level]])
-        else:  # one row
-            found = found.withColumn("_one", F.lit(1)).join(side.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    enough = lambda level: F.col(f"l{level}_total") >= min_docs
-    pick = lambda c: F.when(enough(groups), F.col(f"l{groups}_{c}"))
-    out = []
-    for c in bounds:
-        choice = pick(c)
-        for level in range(groups - 1, 0, -1):
-            choice = choice.when(enough(level), F.col(f"l{level}_{c}"))
-        out.append(choice.otherwise(F.col(f"l0_{c}")).alias(c))
-    return found.select(*keys, *out)
+    bounds = F.struct(*[f"{m}_{x}" for m in MEASURES for x in ("low", "high")])
+    # Every finest group asks its own sketch and the ones above it, and takes the finest that is large enough.
+    asked = per_group.filter(F.col("level") == groups).select(*[F.col(k).alias(f"own_{k}") for k in keys], levels.alias("at"))
+    asked = asked.select("*", *[F.when(F.col("at") > i, F.col(f"own_{k}")).alias(f"asked_{k}") for i, k in enumerate(keys)])
+    on = F.col("at") == F.col("level")
+    for k in keys:
+        on &= F.col(f"asked_{k}").eqNullSafe(F.col(k))
+    met = asked.join(per_group, on).filter((F.col("total") >= min_docs) | (F.col("level") == 0))
+    best = met.groupBy(*[f"own_{k}" for k in keys]).agg(F.max_by(bounds, F.col("level")).alias("best"))
+    return best.select(*[F.col(f"own_{k}").alias(k) for k in keys], "best.*")
 
 
 def judged(measures: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
