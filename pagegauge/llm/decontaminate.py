@@ -90,9 +90,11 @@ def benchmark_hits(
     item_text_col: str = "text",
     window: int = 10,
     block_bytes: int = 16 << 20,
+    with_row: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any window), items (sorted names of
-    the items with occurring windows) and hits (word and byte ranges in the original text)."""
+    the items with occurring windows) and hits (word and byte ranges in the original text); with
+    ``with_row`` also the fingerprint that tells rows of one identifier apart."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")).dropna(subset="text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
@@ -128,4 +130,4 @@ def benchmark_hits(
         "(s, h) -> struct(s.n + greatest(0, h.b - greatest(h.a, s.upto)) AS n, greatest(h.b, s.upto) AS upto), s -> s.n)"
     )
     named = F.expr("array_sort(array_distinct(filter(transform(hits, h -> h.item), x -> x IS NOT NULL)))")
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), named.alias("items"), "hits")
+    return found.select("doc_id", *["row"] * with_row, "n_words", covered.alias("n_hit"), named.alias("items"), "hits")
