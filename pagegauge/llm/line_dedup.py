@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge.llm.base import chosen, mapped, texts
+from pagegauge.llm.base import Stage, chosen, mapped, texts
 
 STRIPPED = b" \t\n\v\f\r"
 
@@ -48,6 +48,8 @@ def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
     pairs = mapped(docs.filter(F.col("doc_id").isNotNull()), f"doc_id {id_type}, line binary", step).distinct()
     counts = pairs.groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # Written, so that the join deals both sides itself and Spark can split a hot line's rows.
+    counts = Stage(docs.sparkSession).keep(counts, "counts")
     lost = pairs.join(counts, "line").filter(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_list("line").alias("drop"))
 
