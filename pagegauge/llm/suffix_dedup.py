@@ -368,7 +368,9 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     own = chosen(docs, id_col, text_col).withColumn("row", fingerprint(F.col("text")))
     id_type = own.schema["doc_id"].dataType.simpleString()
     rows = stage.keep(keyed(own, size).filter(F.col("n") >= size), "keyed")
-    classes = rows.groupBy("whole").agg(F.count("*").alias("copies"), F.min("doc_id").alias("of"))
+    # Tables of counts are written before rows meet them: each join deals both sides itself, and Spark
+    # can split the rows of a hot key.
+    classes = stage.keep(rows.groupBy("whole").agg(F.count("*").alias("copies"), F.min("doc_id").alias("of")), "classes")
     known = rows.select("doc_id", "row", "whole").join(classes, "whole")
     wholes = known.filter("copies > 1").select("doc_id", "row").distinct()
     one = classes.withColumnRenamed("whole", "w")
@@ -388,7 +390,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     found = covered_ranges(runs, size, id_type)
     if most > hot:
         windows = stage.keep(counted_windows(asked(counts.filter(F.col("c") > hot), "asked-hot"), size, id_type), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
+        twice = stage.keep(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2"), "twice")
         ends = windows.join(twice, ["w1", "w2"]).groupBy("doc_id", "row", "place").agg(F.min("o").alias("a"), F.max("o").alias("b"))
         found = found.unionByName(ends.select("doc_id", "row", (F.col("place") - F.col("b")).alias("begin"), (F.col("place") - F.col("a") + size).alias("stop")))
     found = found.unionByName(wholes.select("doc_id", "row", F.lit(0).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("stop")))
