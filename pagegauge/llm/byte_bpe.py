@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 import struct
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ class Codec:
         size = self.pieces.get_piece_size() - 1
         self.tokens = [bytes([byte[c] for c in self.pieces.id_to_piece(i)]) for i in range(size)]
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _add(self, words: set[str]) -> None:
         """Ids of pre-tokens not met before."""
@@ -103,12 +104,15 @@ class Codec:
         for word in words:
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.known[word] = [rank]
+                self.known[word] = rank.to_bytes(4, "little")
             else:
                 rest.append(word)
                 lines.append(data.decode("latin-1").translate(self.shown))
         if rest:
-            self.known.update(zip(rest, self.pieces.encode(lines, num_threads=1), strict=True))
+            found = self.pieces.encode(lines, num_threads=1)
+            packed = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = [4 * n for n in accumulate(map(len, found))]
+            self.known.update((w, packed[a:b]) for w, a, b in zip(rest, [0, *ends], ends))
 
     def encode(self, text: str) -> np.ndarray:
         words = self.split(text)
@@ -119,10 +123,7 @@ class Codec:
             fresh = set(words)
         if fresh:
             self._add(fresh)
-        ids: list[int] = []
-        for word in words:
-            ids += known[word]
-        return np.array(ids, dtype="<u4")
+        return np.frombuffer(b"".join([known[word] for word in words]), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.tokens
