@@ -11,7 +11,7 @@ from pagegauge.operators.ordered import ordered
 # Document rules.
 UNDO_MS = 5000
 PDF_OVERHEAD = 1.02
-MAX_PAGES = 20
+MAX_PAGES = 20  # that a document is meant to hold
 
 
 def commit_removals(events: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -54,10 +54,10 @@ def document_bytes(pages: DataFrame, by: list[str], status: Column, size: Column
     return pages.groupBy(*by).agg(F.floor(total * PDF_OVERHEAD + 0.5).cast("bigint").alias("pdf_bytes"))
 
 
-def limited_pages(pages: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
-    """The first twenty pages of each document, numbered without gaps."""
+def numbered_pages(pages: DataFrame, by: list[str], order: str, width: int, limit: int = MAX_PAGES) -> DataFrame:
+    """Every page of a document with its place, counted without gaps; ``over_limit`` marks those beyond the limit."""
     counted = ordered(pages, by, [order], width).step(running={"place": F.lit(1).cast("bigint")}).result()
-    return counted.where(F.col("place") <= MAX_PAGES)
+    return counted.withColumn("over_limit", F.col("place") > limit)
 
 
 def latest(rows: DataFrame, by: list[str], at: list[str], columns: list[str]) -> DataFrame:
@@ -81,18 +81,17 @@ def upsert_labels(current: DataFrame, incoming: DataFrame, key: str) -> DataFram
 
 
 def funnel(events: DataFrame, by: str, at: str, steps: dict[str, Column]) -> DataFrame:
-    """How many sessions reached each step, none counted before the step it follows."""
+    """How many sessions reached each step, none counted before the step it follows.
+
+    A step is reached by its first event at or after the moment the step before it was reached.
+    """
     names = list(steps)
-    first = events.groupBy(by).agg(*[F.min(F.when(c, F.col(at))).alias(n) for n, c in steps.items()])
-    reached = None
-    flags = []
-    for i, n in enumerate(names):
-        here = F.col(n).isNotNull()
-        if i:
-            here = reached & here & (F.col(n) >= F.col(names[i - 1]))
-        here = F.coalesce(here, F.lit(False))
-        reached = here
-        flags.append(F.count_if(here).alias(n))
-    table = first.agg(F.count("*").alias("sessions"), *flags)
+    reached = events.groupBy(by).agg(F.min(F.when(steps[names[0]], F.col(at))).alias(names[0]))
+    for before, name in zip(names, names[1:]):
+        since = reached.select(F.col(by).alias("__of"), F.col(before).alias("__since"))
+        own = events.where(steps[name]).select(by, at).join(since, F.col(by) == F.col("__of"))
+        own = own.where(F.col(at) >= F.col("__since")).groupBy(by).agg(F.min(at).alias(name))
+        reached = reached.join(own, by, "left")
+    table = reached.agg(F.count("*").alias("sessions"), *[F.count(n).alias(n) for n in names])
     rates = [rate(F.col(n), F.col("sessions")).alias(f"{n}_rate") for n in names]
     return table.select("sessions", *names, *rates)

@@ -20,7 +20,6 @@ PATTERNS = {
 ALLOWED_HOST = r"^(example\.(com|org|net)|localhost|test)$"
 ALLOWED_NUMBERS = ["000.000.000-00", "00000000000"]
 NEEDS_SEPARATOR = {"BR phone": r"[()\-\s]", "CNS (cartao SUS)": r"\s"}
-MAX_TEXT_BYTES = 2_000_000
 ALLOW_FILE, ALLOW_LINE = "pii-guard: allow-file", "pii-guard: allow-line"
 
 # File kinds and places.
@@ -40,8 +39,8 @@ def extension(path: Column) -> Column:
 
 
 def admitted(texts: DataFrame, text: str) -> DataFrame:
-    """Texts worth scanning: not over the size limit and not marked as allowed."""
-    return texts.where((F.octet_length(text) <= MAX_TEXT_BYTES) & ~F.contains(F.col(text), F.lit(ALLOW_FILE)))
+    """Texts to scan: all, however long, that are not marked as allowed."""
+    return texts.where(~F.coalesce(F.contains(F.col(text), F.lit(ALLOW_FILE)), F.lit(False)))
 
 
 def pii_hits(texts: DataFrame, key: str, text: str, personas: list[str] | None = None) -> DataFrame:
@@ -112,7 +111,16 @@ def pdf_file_name(name: Column, at: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMdd-HHmm"), F.lit("_"), slug(name), F.lit(".pdf"))
 
 
-def natural_key(name: Column, digits: int = 12) -> Column:
-    """Sort key under which numbers in a name order as numbers (9 before 10)."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * digits + "$1")
-    return F.regexp_replace(padded, r"0*(\d{" + str(digits) + r"})", "$1")
+def natural_key(name: Column) -> Column:
+    """Sort key under which numbers in a name order as numbers (9 before 10), of any length.
+
+    Every run of digits loses its leading zeros and is written after its length.
+    """
+    lowered = F.lower(name)
+    parts = F.regexp_extract_all(lowered, F.lit(r"\d+|\D+"), F.lit(0))
+
+    def keyed(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, keyed), "")

@@ -46,7 +46,7 @@ view(
     FROM (SELECT *, q[scene_id % 4 + 1] AS mid, (scene_id % 5 - 2) * 25.0::DOUBLE AS slide, CASE WHEN scene_id % 3 <> 0 THEN scene_id % 4 END AS cov,
             {SQL_FRAME} AS box FROM (
       SELECT scene_id, variant, family, w, h, e, truth, CASE WHEN det IS NOT NULL THEN {sql_scale('det')} END AS d, {sql_scale('truth')} AS q FROM fx_det
-      WHERE truth IS NOT NULL AND label % 5 IN (1, 3)))
+      WHERE truth IS NOT NULL))
     """,
 )
 _UNIT_BOX = "CASE WHEN usable THEN {v} ELSE box END"
@@ -100,7 +100,7 @@ view(
 
 
 def scenes(t: Tables) -> DataFrame:
-    rows = b.detections(t).where("truth IS NOT NULL AND label % 5 IN (1, 3)")
+    rows = b.detections(t).where("truth IS NOT NULL")
     c = F.col
     w, h = c("w"), c("h")
     rows = once(

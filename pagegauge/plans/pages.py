@@ -111,13 +111,13 @@ def read_flow_events(t: Tables) -> DataFrame:
 @query(
     "clean_payload",
     """
-    SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN floor(n_chars / 7.0 * 1000 + 0.5) / 1000 END AS number, substr(text, 1, 96) AS text FROM documents
+    SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN floor(n_chars / 7.0 * 1000 + 0.5) / 1000 END AS number, substr(text, 1, 96) AS short, text, length(text) > 96 AS truncated FROM documents
     """,
 )
 def clean_payload(t: Tables) -> DataFrame:
     number = F.when(F.col("doc_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 7.0)
     return t.documents.select(
-        "doc_id", readers.clean_number(number).alias("number"), readers.clean_text(F.col("text")).alias("text")
+        "doc_id", readers.clean_number(number).alias("number"), *readers.clean_text(F.col("text"))
     )
 
 
@@ -347,12 +347,12 @@ def page_state_fold(t: Tables) -> DataFrame:
     SELECT conv_id, turn AS event_id, turn * 2000 AS t, CASE WHEN next_turn IS NOT NULL AND next_turn * 2000 < turn * 2000 + 5000 THEN
         CASE WHEN next_role = 'undo' THEN NULL ELSE next_turn * 2000 END ELSE turn * 2000 + 5000 END AS committed_t
     FROM (SELECT *, lead(turn) OVER w AS next_turn, lead(CASE WHEN role = 'assistant' THEN 'remove' ELSE 'undo' END) OVER w AS next_role
-          FROM conversations WHERE (conv_id + turn) % 3 <> 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant'
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant'
     """,
 )
 def pending_removal(t: Tables) -> DataFrame:
     action = F.when(F.col("role") == "assistant", "remove").otherwise("undo")
-    events = t.conversations.where("(conv_id + turn) % 3 <> 0").select(
+    events = t.conversations.select(
         "conv_id", F.col("turn").alias("event_id"), (F.col("turn") * 2000).alias("t"), action.alias("action")
     )
     return pg.commit_removals(events, ["conv_id"], 3_600_000)
@@ -389,10 +389,10 @@ def document_bytes(t: Tables) -> DataFrame:
 
 @query(
     "page_limit",
-    "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) WHERE place <= 20",
+    "SELECT o_custkey, o_orderkey, place, place > 20 AS over_limit FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)",
 )
 def page_limit(t: Tables) -> DataFrame:
-    return pg.limited_pages(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 1_000_000)
+    return pg.numbered_pages(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 1_000_000)
 
 
 @query(
@@ -447,8 +447,11 @@ def confirm_outcomes(t: Tables) -> DataFrame:
     """
     SELECT count(*) AS sessions, count(*) FILTER (s1) AS capture, count(*) FILTER (s2) AS corners, count(*) FILTER (s3) AS review,
       round(count(*) FILTER (s1) / count(*), 6) AS capture_rate, round(count(*) FILTER (s2) / count(*), 6) AS corners_rate, round(count(*) FILTER (s3) / count(*), 6) AS review_rate
-    FROM (SELECT *, c IS NOT NULL AS s1, coalesce(c IS NOT NULL AND o >= c, false) AS s2, coalesce(c IS NOT NULL AND o >= c AND d >= o, false) AS s3
-      FROM (SELECT session_id, min(t) FILTER (kind = 'capture') AS c, min(t) FILTER (kind = 'confirm-open') AS o, min(t) FILTER (kind = 'confirm-done') AS d FROM fx_log GROUP BY session_id))
+    FROM (SELECT session_id, bool_or(kind = 'capture') AS s1,
+        bool_or(kind = 'confirm-open' AND EXISTS (SELECT 1 FROM fx_log c WHERE c.session_id = e.session_id AND c.kind = 'capture' AND c.t <= e.t)) AS s2,
+        bool_or(kind = 'confirm-done' AND EXISTS (SELECT 1 FROM fx_log o JOIN fx_log c ON c.session_id = o.session_id AND c.kind = 'capture' AND c.t <= o.t
+                                                  WHERE o.session_id = e.session_id AND o.kind = 'confirm-open' AND o.t <= e.t)) AS s3
+      FROM fx_log e GROUP BY session_id)
     """,
 )
 def funnel(t: Tables) -> DataFrame:

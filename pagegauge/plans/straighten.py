@@ -295,18 +295,19 @@ CLASSES = ["complete", "partial", "noop", "harm", "unverified", "left-alone", "a
 view(
     "fx_scenes",
     f"""
-    SELECT o_orderkey // 2 AS id, o_orderkey % 2 AS run, {sql_pick(CLASSES, 'CAST(floor(o_totalprice) AS INTEGER) % 7')} AS cls,
+    SELECT CASE WHEN o_orderkey % 22 = 1 THEN -1 - o_orderkey // 2 ELSE o_orderkey // 2 END AS id, o_orderkey % 2 AS run, {sql_pick(CLASSES, 'CAST(floor(o_totalprice) AS INTEGER) % 7')} AS cls,
            CAST(floor(o_totalprice) AS INTEGER) % 7 NOT IN (2, 5) AS acted, o_custkey % 19 = 0 AS seam
-    FROM orders WHERE o_orderkey % 22 <> 1
+    FROM orders
     """,
 )
 
 
 def scenes(t: Tables, run: int) -> DataFrame:
     slot = F.floor("o_totalprice").cast("int") % 7
-    rows = t.orders.where((F.col("o_orderkey") % 22 != 1) & (F.col("o_orderkey") % 2 == run))
+    rows = t.orders.where(F.col("o_orderkey") % 2 == run)
     return rows.select(
-        F.expr("o_orderkey div 2").alias("id"),
+        # Some scenes go by another name in the newer run.
+        F.expr("IF(o_orderkey % 22 = 1, -1 - o_orderkey div 2, o_orderkey div 2)").alias("id"),
         pick(CLASSES, slot).alias("cls"),
         (~slot.isin(2, 5)).alias("acted"),
         (F.col("o_custkey") % 19 == 0).alias("seam"),

@@ -52,7 +52,7 @@ def pii_summary(t: Tables) -> DataFrame:
     "scan_text_corpus",
     """
     SELECT lang, source, count(*) AS texts, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, max(strlen(text)) AS max_bytes
-    FROM documents WHERE strlen(text) <= 2000000 AND NOT contains(text, 'pii-guard: allow-file') GROUP BY lang, source
+    FROM documents WHERE NOT contains(text, 'pii-guard: allow-file') GROUP BY lang, source
     """,
 )
 def scan_text_corpus(t: Tables) -> DataFrame:
@@ -122,13 +122,13 @@ def fixture_provenance_anti(t: Tables) -> DataFrame:
     "slugify",
     """
     SELECT doc_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS slug FROM (
-      SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(strip_accents(translate(lower(substr(text, 1, 80)), 'đ', 'd'))),
+      SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(strip_accents(translate(lower(text), 'đ', 'd'))),
         '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24), '-+$', '') AS s FROM documents)
     """,
 )
 def slugify(t: Tables) -> DataFrame:
-    """A document's name from its opening words."""
-    return t.documents.select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+    """A document's name from its text; only the name itself is short."""
+    return t.documents.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -179,7 +179,7 @@ def natural_page_order(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", name.alias("name")).distinct()
     rows = rows.withColumn("sort_key", tx.natural_key(F.col("name")))
     # Names are sliced by the first digits of their number, so a folder is never one task.
-    number = F.regexp_extract("sort_key", r"(\d+)", 1).cast("bigint")
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("bigint")
     placed = ordered(rows.withColumn("number", number), ["l_orderkey"], ["sort_key"], 100_000, axis="number")
     counted = placed.step(running={"place": F.lit(1).cast("bigint")}).result()
     return counted.select("l_orderkey", "name", "place")

@@ -139,8 +139,9 @@ def clean_number(value: Column) -> Column:
     return F.when(~bad, F.floor(value * 1000 + 0.5) / 1000)
 
 
-def clean_text(value: Column) -> Column:
-    return F.substring(value, 1, MAX_STRING)
+def clean_text(value: Column, limit: int = MAX_STRING) -> list[Column]:
+    """A text as it is, its short form for a report, and whether that leaves something out."""
+    return [F.substring(value, 1, limit).alias("short"), value.alias("text"), (F.length(value) > limit).alias("truncated")]
 
 
 def sparse_frames(frames: DataFrame, clip: str, k: str) -> DataFrame:

@@ -48,7 +48,7 @@ def _cancel(state: State, row: tuple) -> tuple:
     if finished or kind == "other":
         return (False,)
     if kind in ("error", "complete"):
-        state[0] = True
+        state[:] = [True, None]
         return (True,)
     if last is not None and t - last < CANCEL_DEBOUNCE:
         return (False,)
@@ -98,7 +98,7 @@ ONE_EURO = Machine(
 COST_SHARE, LONG_TASK_MS, DUTY, INTERVAL_LOW, INTERVAL_HIGH = 0.3, 50.0, 0.35, 120.0, 400.0
 
 
-def _pace(state: State, row: tuple) -> tuple:
+def _cost(state: State, row: tuple) -> tuple:
     cost, lane = row
     if lane != state[1]:
         state[:] = [None, lane]
@@ -110,7 +110,7 @@ def _pace(state: State, row: tuple) -> tuple:
     return (state[0], min(INTERVAL_HIGH, max(INTERVAL_LOW, state[0] / DUTY)))
 
 
-CADENCE = Machine(("pass_ms", "lane"), "cost_ms double, interval_ms double", lambda: [None, None], _pace)
+CADENCE = Machine(("pass_ms", "lane"), "cost_ms double, interval_ms double", lambda: [None, None], _cost)
 
 
 # ── which of two sources is believed ────────────────────────────────────────
@@ -156,75 +156,66 @@ READY_AFTER, READY_EXIT = 100, 300
 TICK_REARM, LOST_REARM = 2000, 1000
 
 
+def _held_for(run: list, value: Any, t: Any) -> Any:
+    """How long a wish has been the same; ``run`` is the wish and since when."""
+    if run[1] is None or run[0] != value:
+        run[:] = [value, t]
+    return t - run[1]
+
+
 def _debounce(state: State, row: tuple) -> tuple:
+    """A wish becomes the hint when it lasts, the hint before it was seen and the last change is past.
+
+    A framing hint that nobody wishes for any more goes at once.
+    """
     t, wanted = row
-    shown, shown_at, changed_at, pending, pending_since, waiting = state
-    if wanted == shown:
-        state[5] = False
-        return (shown,)
-    if wanted is None and shown in FRAMING_HINTS:
-        state[:] = [None, t, t, None, 0, False]
-        return (None,)
-    if not waiting or wanted != pending:
-        pending, pending_since = wanted, t
-    held = t - pending_since >= HINT_APPEAR
+    run, shown, shown_at, changed_at = state
+    lasts = _held_for(run, wanted, t) >= HINT_APPEAR
+    outlived = shown in FRAMING_HINTS and wanted is None
     seen = shown is None or t - shown_at >= HINT_MIN_SHOW
     rested = changed_at is None or t - changed_at >= HINT_MIN_GAP
-    if held and seen and rested:
-        state[:] = [wanted, t, t, None, 0, False]
-    else:
-        # No pending hint and a pending "none" are one and the same state.
-        state[3:] = [pending, pending_since, pending is not None]
-        if pending is None:
-            state[5] = True
-    return (state[0],)
+    if wanted != shown and (outlived or (lasts and seen and rested)):
+        state[1:] = [wanted, t, t]
+    return (state[1],)
 
 
-HINT_DEBOUNCE = Machine(("t", "wanted"), "shown_hint string", lambda: [None, None, None, None, 0, False], _debounce)
+HINT_DEBOUNCE = Machine(("t", "wanted"), "shown_hint string", lambda: [[None, None], None, None, None], _debounce)
 
 
 def _latch(state: State, row: tuple) -> tuple:
+    """The first direction shows at once, another one when it lasts and the shown one was seen; none clears."""
     t, direction = row
-    shown, shown_at, pending, since = state
+    run, shown, shown_at = state
+    lasts = _held_for(run, direction, t) >= HINT_APPEAR
     if direction is None:
-        state[:] = [None, None, None, 0]
-    elif shown is None:
-        state[:] = [direction, t, None, 0]
-    elif direction == shown:
-        state[2] = None
-    else:
-        if direction != pending:
-            pending, since = direction, t
-        if t - since >= HINT_APPEAR and t - shown_at >= HINT_MIN_SHOW:
-            state[:] = [direction, t, None, 0]
-        else:
-            state[2:] = [pending, since]
-    return (state[0],)
+        state[1:] = [None, None]
+    elif shown is None or (direction != shown and lasts and t - shown_at >= HINT_MIN_SHOW):
+        state[1:] = [direction, t]
+    return (state[1],)
+
 
+DIRECTION_LATCH = Machine(("t", "direction"), "shown_direction string", lambda: [[None, None], None, None], _latch)
 
-DIRECTION_LATCH = Machine(("t", "direction"), "shown_direction string", lambda: [None, None, None, 0], _latch)
+#: Phase and signal to the next phase, taken once the phase has lasted so long; other signals leave it.
+READY_PHASES = {
+    "off": {"strict": ("arming", 0)},
+    "arming": {"strict": ("on", READY_AFTER), "keep": ("off", 0), "lost": ("off", 0)},
+    "on": {"keep": ("leaving", 0), "lost": ("off", 0)},
+    "leaving": {"strict": ("on", 0), "keep": ("off", READY_EXIT), "lost": ("off", 0)},
+}
 
 
 def _ready(state: State, row: tuple) -> tuple:
     t, strict, keep = row
-    since, on_since, shown, failing = state
-    if strict:
-        since = t if since is None else since
-        if on_since is None and t - since >= READY_AFTER:
-            on_since = t
-        state[:] = [since, on_since, shown or on_since is not None, None]
-    elif not keep:
-        state[:] = [None, None, False, None]
-    elif shown:
-        failing = t if failing is None else failing
-        off = t - failing >= READY_EXIT
-        state[:] = [None, None, False, None] if off else [None, on_since, True, failing]
-    else:
-        state[:] = [None, None, False, failing]
-    return (state[2],)
+    phase, since = state
+    signal = "strict" if strict else "keep" if keep else "lost"
+    following, after = READY_PHASES[phase].get(signal, (phase, math.inf))
+    if following != phase and t - (t if since is None else since) >= after:
+        state[:] = [following, None if following == "off" else t]
+    return (state[0] in ("on", "leaving"),)
 
 
-READY_CUE = Machine(("t", "strict", "keep"), "cue boolean", lambda: [None, None, False, None], _ready)
+READY_CUE = Machine(("t", "strict", "keep"), "cue boolean", lambda: ["off", None], _ready)
 
 
 def _tick(state: State, row: tuple) -> tuple:
@@ -255,47 +246,58 @@ def _far(a: list, b: list, aspect: float) -> float:
     return max(math.sqrt((a[i] - b[i]) ** 2 + ((a[i + 1] - b[i + 1]) * aspect) ** 2) for i in (0, 2, 4, 6)) / diagonal
 
 
+def _rearmed(watch: list, t: Any, page: list | None, aspect: float) -> list:
+    """After a fire the trigger waits for another page: one far from the fired quad, or the fired one gone.
+
+    Phases: ``armed`` since when, ``fired`` (its page not met since), ``seen``, ``gone`` since when.
+    """
+    phase, quad, since = watch
+    if phase == "armed":
+        return watch
+    if page is not None:
+        return ["armed", None, t] if _far(page, quad, aspect) > REARM_JUMP else ["seen", quad, None]
+    if phase == "seen":
+        return ["gone", quad, t]
+    return ["armed", None, t] if phase == "gone" and t - since >= REARM_GONE_MS else watch
+
+
+def _pace(pace: list, begin: Any, agree: Any) -> list:
+    """A countdown turns fast when both sources agree, and slow for good when they then do not."""
+    mode = pace[1] if pace[0] == begin else "open"
+    if agree:
+        mode = "fast" if mode == "open" else mode
+    elif mode == "fast":
+        mode = "slow"
+    return [begin, mode]
+
+
 def _auto(state: State, row: tuple) -> tuple:
-    t, ready_since, locked_since, confirmed_at, motion_at, agree, steady, aspect, *sheet = row
-    fired, armed_at, fast_for, slow_for, quiet_from, seen, gone_since = state
-    page = None if sheet[0] is None else sheet
-    if fired is not None:
-        if page is not None:
-            seen, gone_since = True, None
-            if _far(page, fired, aspect) > REARM_JUMP:
-                fired, armed_at = None, t
-        elif seen:
-            gone_since = t if gone_since is None else gone_since
-            if t - gone_since >= REARM_GONE_MS:
-                fired, armed_at = None, t
-    if fired is not None or ready_since is None or page is None:
-        state[:] = [fired, armed_at, None, slow_for, None, seen, gone_since]
+    """Counts down while a page is ready; fires when the time is up and the picture is confirmed quiet."""
+    t, ready_since, locked_since, confirmed_at, motion_at, agree, steady, aspect, *corners = row
+    page = None if corners[0] is None else corners
+    watch, (begun, mode), quiet_from = state
+    state[0] = watch = _rearmed(watch, t, page, aspect)
+    if watch[0] != "armed" or ready_since is None or page is None:
+        state[1:] = [[begun, "slow" if mode == "slow" else "open"], None]
         return (None, False)
-    begin = ready_since if armed_at is None else max(ready_since, armed_at)
-    if fast_for == begin and not agree:
-        fast_for, slow_for = None, begin
-    elif fast_for != begin and slow_for != begin:
-        fast_for = begin if agree else None
-    length = FIRE_FAST_MS if fast_for == begin else FIRE_MS
+    begin = ready_since if watch[2] is None else max(ready_since, watch[2])
+    state[1] = _pace([begun, mode], begin, agree)
     if locked_since is None:
-        state[:] = [None, armed_at, fast_for, slow_for, None, seen, gone_since]
+        state[2] = None
         return (0.0, False)
-    dwell = locked_since + MIN_DWELL_MS
-    end = max(begin + length, dwell)
-    confirm_from = max(begin + min(CONFIRM_AFTER_MS, length), dwell)
-
-    def qualifies(at: Any) -> bool:
-        return at is not None and at >= confirm_from and (motion_at is None or at > motion_at)
-
-    if not qualifies(quiet_from):
-        quiet_from = confirmed_at if qualifies(confirmed_at) else None
+    length = FIRE_FAST_MS if state[1][1] == "fast" else FIRE_MS
+    dwelt = locked_since + MIN_DWELL_MS
+    end = max(begin + length, dwelt)
+    earliest = max(begin + min(CONFIRM_AFTER_MS, length), dwelt)
+    # Confirmations count that are late enough and younger than the last motion.
+    counts = [at is not None and at >= earliest and (motion_at is None or at > motion_at) for at in (quiet_from, confirmed_at)]
+    quiet_from = quiet_from if counts[0] else confirmed_at if counts[1] else None
     progress = min(1.0, (t - begin) / (end - begin))
-    fresh = qualifies(confirmed_at) and t - confirmed_at <= FRAME_AGE_MS
-    rested = quiet_from is not None and t - quiet_from >= QUIET_MS
-    if progress >= 1 and steady and fresh and rested:
-        state[:] = [page, armed_at, fast_for, slow_for, None, False, None]
+    quiet = quiet_from is not None and t - quiet_from >= QUIET_MS
+    if progress >= 1 and steady and quiet and counts[1] and t - confirmed_at <= FRAME_AGE_MS:
+        state[:] = [["fired", page, None], state[1], None]
         return (1.0, True)
-    state[:] = [None, armed_at, fast_for, slow_for, quiet_from, seen, gone_since]
+    state[2] = quiet_from
     return (progress, False)
 
 
@@ -312,7 +314,7 @@ AUTO_CAPTURE = Machine(
         *[f"{a}{i}" for i in range(4) for a in "xy"],
     ),
     "countdown double, fire boolean",
-    lambda: [None, None, None, None, None, False, None],
+    lambda: [["armed", None, None], [None, "open"], None],
     _auto,
 )
 
@@ -349,6 +351,8 @@ def _match(state: State, row: tuple) -> tuple:
     at, is_fire, item = row
     probes = state[0]
     if not is_fire:
+        # No later fire reaches further back than this.
+        probes[:] = [p for p in probes if p[0] >= at - PROBE_AFTER - PROBE_BEFORE]
         probes.append([at, item])
         return (None,)
     tap = at - PROBE_AFTER
@@ -365,17 +369,13 @@ def _match(state: State, row: tuple) -> tuple:
 
 NEAREST_UNIQUE = Machine(("due", "is_fire", "event_id"), "probe_id bigint", lambda: [[]], _match)
 
-# Fixed value: pages one document may hold.
-MAX_PAGES = 20
-
-
 def _pages(state: State, row: tuple) -> tuple:
-    """Pages of a document in order, each ``[id, revision, rotation]``; full documents take no more."""
+    """Pages of a document in order, each ``[id, revision, rotation]``, however many."""
     action, page, to = row
     pages = state[0]
     at = next((i for i, p in enumerate(pages) if p[0] == page), None)
     if action == "add":
-        if at is None and len(pages) < MAX_PAGES:
+        if at is None:
             pages.append([page, 1, 0])
     elif at is not None:
         if action == "remove":

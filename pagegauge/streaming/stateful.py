@@ -14,15 +14,15 @@ from pagegauge.operators.folds import _typed, output_names, run_rows
 from pagegauge.operators.gates import absolute_violations
 from pagegauge.streaming.machines import Machine
 
-IDLE_TIMEOUT_MS = 10 * 60_000
-
-
-def fold_stream(events: DataFrame, key: str, at: str, order: list[str], machine: Machine, watermark: str) -> DataFrame:
+def fold_stream(
+    events: DataFrame, key: str, at: str, order: list[str], machine: Machine, watermark: str, idle_ms: int | None = None
+) -> DataFrame:
     """Rows with the machine's outputs, as they arrive.
 
     ``at`` is the event-time column. Within a micro-batch a session's rows are put in order; a
     row older than the newest one already taken is late and dropped, as the batch rules do.
-    State of a session that has been silent for ten minutes of event time is let go.
+    With ``idle_ms`` the state of a session that has been silent for so long is let go, and the
+    session starts afresh if it comes back; without it the stream equals the batch fold for good.
     """
     names = output_names(machine)
     kept = [f for f in events.schema.fields if f.name not in names]
@@ -48,7 +48,8 @@ def fold_stream(events: DataFrame, key: str, at: str, order: list[str], machine:
             for i, name in enumerate(names):
                 out[name] = pd.Series([o[i] for o in outs], dtype="object")
             yield out
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + IDLE_TIMEOUT_MS)
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
 
     return (
         events.withWatermark(at, watermark)
