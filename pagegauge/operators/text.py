@@ -20,17 +20,15 @@ PATTERNS = {
 ALLOWED_HOST = r"^(example\.(com|org|net)|localhost|test)$"
 ALLOWED_NUMBERS = ["000.000.000-00", "00000000000"]
 NEEDS_SEPARATOR = {"BR phone": r"[()\-\s]", "CNS (cartao SUS)": r"\s"}
-ALLOW_FILE, ALLOW_LINE = "pii-guard: allow-file", "pii-guard: allow-line"
-
-# File kinds and places.
-MEDIA = "png jpg jpeg heic heif webp gif bmp tif tiff avif pdf mp4 mov webm avi dcm svg".split()
-TEXT_KINDS = "ts tsx js jsx mjs cjs json md css html yml yaml rs toml sh txt env".split()
-MEDIA_HOMES = ["fixtures/", "assets/"]
-FORBIDDEN_PATHS = [
-    r"(^|/)data/",
-    r"(^|/)parity/fixtures/",
-    r"(^|/)detect-bench/(samples|captures|photos|videos)/",
-    r"(^|/)pii_free(/|$)",
+#: Marks in a text that excuse it, or one of its lines.
+ALLOW_FILE, ALLOW_LINE = "text-scan: allow-file", "text-scan: allow-line"
+
+# File kinds.
+MEDIA = [
+    "png", "jpg", "jpeg", "heic", "heif", "webp", "gif", "bmp", "tif", "tiff", "avif", "pdf", "mp4", "mov", "webm", "avi", "dcm", "svg",
+]
+TEXT_KINDS = [
+    "ts", "tsx", "js", "jsx", "mjs", "cjs", "json", "md", "css", "html", "yml", "yaml", "rs", "toml", "sh", "txt", "env",
 ]
 
 
@@ -38,9 +36,9 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def admitted(texts: DataFrame, text: str) -> DataFrame:
+def admitted(texts: DataFrame, text: str, allow_file: str = ALLOW_FILE) -> DataFrame:
     """Texts to scan: all, however long, that are not marked as allowed."""
-    return texts.where(~F.coalesce(F.contains(F.col(text), F.lit(ALLOW_FILE)), F.lit(False)))
+    return texts.where(~F.coalesce(F.contains(F.col(text), F.lit(allow_file)), F.lit(False)))
 
 
 def pii_hits(texts: DataFrame, key: str, text: str, personas: list[str] | None = None) -> DataFrame:
@@ -67,13 +65,13 @@ def pii_hits(texts: DataFrame, key: str, text: str, personas: list[str] | None =
     return rows.where(~allowed & ~bare)
 
 
-def path_problems(files: DataFrame, path: str = "path") -> DataFrame:
-    """Files in forbidden places, and media outside the folders media may live in."""
+def path_problems(files: DataFrame, forbidden_paths: list[str], media_homes: list[str], path: str = "path") -> DataFrame:
+    """Files under a forbidden pattern, and media outside the folders media may live in."""
     forbidden = F.lit(False)
-    for p in FORBIDDEN_PATHS:
+    for p in forbidden_paths:
         forbidden = forbidden | F.col(path).rlike(p)
     home = F.lit(False)
-    for h in MEDIA_HOMES:
+    for h in media_homes:
         home = home | F.startswith(F.col(path), F.lit(h))
     media = extension(F.col(path)).isin(MEDIA)
     problems = F.array_compact(
@@ -82,9 +80,9 @@ def path_problems(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(path, F.explode(problems).alias("problem"))
 
 
-def unproven_fixtures(files: DataFrame, provenance: DataFrame, path: str = "path") -> DataFrame:
-    """Media fixtures without a provenance row of their base name."""
-    media = files.where(F.startswith(F.col(path), F.lit("fixtures/")) & extension(F.col(path)).isin(MEDIA))
+def unproven_fixtures(files: DataFrame, provenance: DataFrame, home: str, path: str = "path") -> DataFrame:
+    """Media of a folder without a provenance row of their base name."""
+    media = files.where(F.startswith(F.col(path), F.lit(home)) & extension(F.col(path)).isin(MEDIA))
     return media.withColumn("name", F.element_at(F.split(path, "/"), -1)).join(
         provenance.select("name"), "name", "left_anti"
     )

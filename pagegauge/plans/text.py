@@ -19,14 +19,14 @@ view(
     "fx_lines",
     """
     SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (
-      SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE NOT contains(text, 'pii-guard: allow-file'))
+      SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE NOT contains(text, 'text-scan: allow-file'))
     """,
 )
 view(
     "fx_pii",
     f"""
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, pattern, hit FROM ({_UNION})
-    WHERE NOT contains(line, 'pii-guard: allow-line') AND NOT contains(line, '000.000.000-00') AND NOT contains(line, '00000000000')
+    WHERE NOT contains(line, 'text-scan: allow-line') AND NOT contains(line, '000.000.000-00') AND NOT contains(line, '00000000000')
       AND NOT (contains(hit, '@') AND regexp_matches(lower(string_split(hit, '@')[-1]), '^(example\\.(com|org|net)|localhost|test)$'))
       AND NOT (pattern = 'BR phone' AND NOT regexp_matches(hit, '[()\\-\\s]')) AND NOT (pattern = 'CNS (cartao SUS)' AND NOT regexp_matches(hit, '\\s'))
     """,
@@ -52,7 +52,7 @@ def pii_summary(t: Tables) -> DataFrame:
     "scan_text_corpus",
     """
     SELECT lang, source, count(*) AS texts, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, max(strlen(text)) AS max_bytes
-    FROM documents WHERE NOT contains(text, 'pii-guard: allow-file') GROUP BY lang, source
+    FROM documents WHERE NOT contains(text, 'text-scan: allow-file') GROUP BY lang, source
     """,
 )
 def scan_text_corpus(t: Tables) -> DataFrame:
@@ -64,7 +64,7 @@ def scan_text_corpus(t: Tables) -> DataFrame:
 
 
 _KINDS = "['png', 'ts', 'pdf', 'md', 'mp4']"
-_FOLDERS = "['fixtures', 'src/data', 'assets', 'docs', 'detect-bench/photos', 'pii_free']"
+_FOLDERS = "['fixtures', 'src/data', 'assets', 'docs', 'camera/photos', 'clean']"
 view(
     "fx_files",
     f"""
@@ -75,7 +75,7 @@ view(
 
 def files(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("png", "ts", "pdf", "md", "mp4")])
-    folders = F.array(*[F.lit(k) for k in ("fixtures", "src/data", "assets", "docs", "detect-bench/photos", "pii_free")])
+    folders = F.array(*[F.lit(k) for k in ("fixtures", "src/data", "assets", "docs", "camera/photos", "clean")])
     doc = F.col("doc_id")
     path = F.concat(
         F.get(folders, (doc % 6).cast("int")),
@@ -96,13 +96,14 @@ _MEDIA = "('png', 'pdf', 'mp4')"
     "forbidden_path_scan",
     f"""
     SELECT path, 'forbidden path' AS problem FROM fx_files WHERE regexp_matches(path, '(^|/)data/')
-      OR regexp_matches(path, '(^|/)detect-bench/(samples|captures|photos|videos)/') OR regexp_matches(path, '(^|/)pii_free(/|$)')
+      OR regexp_matches(path, '(^|/)camera/(photos|videos)/') OR regexp_matches(path, '(^|/)clean(/|$)')
     UNION ALL SELECT path, 'media outside its folders' FROM fx_files
       WHERE string_split(path, '.')[-1] IN {_MEDIA} AND NOT (path LIKE 'fixtures/%' OR path LIKE 'assets/%')
     """,
 )
 def forbidden_path_scan(t: Tables) -> DataFrame:
-    return tx.path_problems(files(t))
+    forbidden = [r"(^|/)data/", r"(^|/)camera/(photos|videos)/", r"(^|/)clean(/|$)"]
+    return tx.path_problems(files(t), forbidden, ["fixtures/", "assets/"])
 
 
 @query(
@@ -115,7 +116,7 @@ def forbidden_path_scan(t: Tables) -> DataFrame:
 def fixture_provenance_anti(t: Tables) -> DataFrame:
     named = files(t).join(t.labels.where("quality = 1"), "doc_id", "left_semi")
     names = named.select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return tx.unproven_fixtures(files(t), names).select("path")
+    return tx.unproven_fixtures(files(t), names, "fixtures/").select("path")
 
 
 @query(

@@ -77,8 +77,8 @@ def test_pii_allowances(spark):
     lines = [
         (1, "write to ana@mail.org.br or b@example.com"),
         (2, "cpf 123.456.789-09 and 000.000.000-00"),
-        (3, "cpf 123.456.789-09\nphone (11) 91234-5678 pii-guard: allow-line"),
-        (4, "ana@mail.org\npii-guard: allow-file"),
+        (3, "cpf 123.456.789-09\nphone (11) 91234-5678 text-scan: allow-line"),
+        (4, "ana@mail.org\ntext-scan: allow-file"),
         (5, "id 11912345678"),
     ]
     got = tx.pii_hits(spark.createDataFrame(lines, "k int, body string"), "k", "body").collect()
