@@ -15,6 +15,7 @@ from pagegauge.llm.wordgrams import Words, mix, powers
 _RUN, _PAIR, _SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _BASE = 0xD1342543DE82EF95
 #: One round of runs on the words, then rounds of pairs.
+MARGIN, CHOICE = 2, 2
 STEPS = ("run", "pair", "pair", "pair", "pair", "pair", "pair")
 
 
@@ -53,15 +54,24 @@ def _least(names: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def phrases(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For every window a phrase inside it (first word, end), found from the window's words alone.
 
-    It is a symbol of the highest level that surely stands in the parse of the window wherever its
-    words occur: symbols at its edges that could join with what is outside are left out, step by
-    step. Windows of two runs or fewer have none; they are their own phrase.
+    Symbols at the window's edges that could join with what is outside are left out, step by step;
+    the others stand in the parse of the window wherever its words occur. Of the last level at which
+    ``CHOICE`` of them lie ``MARGIN`` words or more from both edges, the one with the smallest name is
+    taken. Windows with too few runs are their own phrase.
     """
     total = len(words.hash)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     names, begin = words.hash, np.arange(total)
     first, end = starts.copy(), starts + size
+    # Symbols that surely stand in the parse, and those of them that may be chosen.
     active, lo, hi = np.arange(len(starts)), starts.copy(), starts + size
+    choose_lo, choose_hi = lo, hi
+
+    def settle(which: np.ndarray) -> None:
+        at = _least(names, choose_lo[which], choose_hi[which])
+        ends = np.append(begin[1:], total)
+        first[active[which]], end[active[which]] = begin[at], ends[at]
+
     for number, kind in enumerate(STEPS):
         if not len(active):
             break
@@ -85,26 +95,23 @@ def phrases(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndarray, np
             some = i < j
             i, j = np.where(some, i, lo), np.where(some, j, lo + 1)
             lo2, hi2 = np.where(some, to[i], 1), np.where(some, to[j - 1] + 1, 0)
-        gone = lo2 >= hi2
+        begins = begin[new]
+        at = starts[active] + MARGIN
+        c_lo = np.maximum(lo2, np.searchsorted(begins, at))
+        c_hi = np.minimum(hi2, np.searchsorted(np.append(begins[1:], total), at + size - 2 * MARGIN, "right"))
+        gone = c_hi - c_lo < CHOICE
         if number and gone.any():
-            at = _least(names, lo[gone], hi[gone])
-            ends = np.append(begin[1:], total)
-            first[active[gone]], end[active[gone]] = begin[at], ends[at]
-        active, lo, hi = active[~gone], lo2[~gone], hi2[~gone]
-        names, begin = named, begin[new]
+            settle(gone)
+        stay = ~gone
+        active, lo, hi, choose_lo, choose_hi = active[stay], lo2[stay], hi2[stay], c_lo[stay], c_hi[stay]
+        names, begin = named, begins
     if len(active):
-        at = _least(names, lo, hi)
-        ends = np.append(begin[1:], total)
-        first[active], end[active] = begin[at], ends[at]
+        settle(np.ones(len(active), bool))
     return first, end
 
 
 def window_keys(words: Words, starts: np.ndarray, size: int, ranges: Ranges) -> np.ndarray:
-    """A key for every window: its phrase with half of the window's other words, on the left where
-    there are so many, else on the right. Equal windows have equal keys; neighbours often share one."""
+    """A key for every window: its phrase with the ``MARGIN`` words on both sides of it. Equal windows
+    have equal keys; neighbours often share one."""
     first, end = phrases(words, starts, size)
-    more = (size - (end - first)) // 2
-    left = first - starts >= more
-    a = np.where(left, first - more, first)
-    b = np.where(left, end, end + more)
-    return mix(ranges.of(a, b) + left.astype(np.uint64))
+    return ranges.of(np.maximum(first - MARGIN, starts), np.minimum(end + MARGIN, starts + size))

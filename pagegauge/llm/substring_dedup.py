@@ -31,26 +31,20 @@ def _per_text(words: Words, starts: np.ndarray) -> np.ndarray:
 
 
 def parsed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, row, number of words, two hashes of the whole sequence and the keys of its windows."""
+    """doc_id, row and the keys of the text's windows."""
 
     def step(batch: pa.RecordBatch):
         words = words_of(batch.column("text"), lower=False)
-        ranges = Ranges(words.hash)
-        other = Ranges(words.hash ^ np.uint64(0x2545F4914F6CDD1D))
         starts = windows_of(words, size)
-        keys = window_keys(words, starts, size, ranges).view(np.int64)
+        keys = window_keys(words, starts, size, Ranges(words.hash)).view(np.int64)
         cut = _per_text(words, starts)
-        a, b = words.first[:-1], words.first[1:]
         return {
             "doc_id": batch.column("doc_id"),
             "row": batch.column("row"),
-            "n": b - a,
-            "f1": ranges.of(a, b).view(np.int64),
-            "f2": other.of(a, b).view(np.int64),
             "keys": [np.unique(keys[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)],
         }
 
-    return mapped(docs, "doc_id bigint, row bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>", step)
+    return mapped(docs, "doc_id bigint, row bigint, keys array<bigint>", step)
 
 
 def hashed_windows(docs: DataFrame, size: int) -> DataFrame:
@@ -87,24 +81,28 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     own = chosen(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     own = own.withColumn("row", fingerprint(F.col("text")))
     known = own.filter("doc_id IS NOT NULL")
-    rows = stage.keep(parsed(known, size), "parsed")
-    long = rows.filter(F.col("n") >= size)
-    classes = long.groupBy("f1", "f2").agg(F.min("doc_id").alias("source"))
-    copies = long.select("doc_id", "row", "f1", "f2").join(classes, ["f1", "f2"]).filter("doc_id <> source").select("doc_id", "row").distinct()
-    only = long.join(classes.withColumnRenamed("source", "doc_id"), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "row", F.explode("keys").alias("key"))
-    shared = only.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    asked = stage.keep(
-        only.join(shared, "key").groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys")), "asked"
-    )
+    # Texts that are equal as a whole: all but that of the smallest number repeat it.
+    whole = known.select("doc_id", "row", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("hash"))
+    classes = whole.groupBy("hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
+    # Tables of counts are written before rows meet them: each join deals both sides itself, and Spark
+    # can split the rows of a hot key.
+    classes = stage.keep(classes, "classes")
+    copies = stage.keep(whole.join(classes, "hash").filter("doc_id <> source").select("doc_id", "row").distinct(), "copies")
+    rows = stage.keep(parsed(known.join(copies, ["doc_id", "row"], "left_anti"), size), "parsed")
+    only = rows.select("doc_id", "row", F.explode("keys").alias("key"))
+    shared = stage.keep(only.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    asked = stage.keep(only.join(shared, "key").groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys")), "asked")
+    stage.drop("parsed")
+    stage.drop("shared")
     windows = stage.keep(hashed_windows(known.join(asked, ["doc_id", "row"]), size), "windows")
-    repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
+    stage.drop("asked")
+    repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    repeated = stage.keep(repeated.select("w1", "w2", "lo"), "repeated")
     found = windows.join(repeated, ["w1", "w2"]).filter("doc_id > lo").groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
-    marks = stage.keep(
-        found.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "row", F.array().cast("array<int>").alias("at"), F.lit(True).alias("whole"))), "marks"
-    )
-    marks = marks.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"), F.max("whole").alias("whole"))
-    stage.drop("parsed")
+    found = stage.keep(found.select("doc_id", "row", "at", F.lit(False).alias("whole")), "found")
     stage.drop("windows")
+    stage.drop("repeated")
+    marks = found.unionByName(copies.select("doc_id", "row", F.array().cast("array<int>").alias("at"), F.lit(True).alias("whole")))
     joined = own.join(marks, ["doc_id", "row"], "left")
 
     def step(batch: pa.RecordBatch):
@@ -113,7 +111,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         for text, at, whole in zip(texts, batch.column("at").to_pylist(), batch.column("whole").to_pylist(), strict=True):
             words = (text or b"").split()
             gone = np.zeros(len(words) + 1, np.int64)
-            if whole:
+            if whole and len(words) >= size:
                 gone[0] = 1
             elif at:
                 np.add.at(gone, at, 1)
