@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from pagegauge.llm.base import Stage
 
 
+def _done(edges: DataFrame) -> bool:
+    """Are the links stars: every node links to one node, and that one to none?"""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
+
+
 def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
     """(node, label) of every node that has a link; the label is the smallest node it can reach.
 
@@ -31,19 +40,10 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
         links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
     )
     turn = 0
-    state = None
-    while True:
+    while not _done(edges):
         turn += 1
         edges = stage.keep(star(star(edges, True), False), f"{name}-{turn}")
         stage.drop(f"{name}-{turn - 1}")
-        now = tuple(
-            edges.agg(
-                F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))
-            ).first()
-        )
-        if now == state or now[0] == 0:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label"))
     ).distinct()

@@ -10,9 +10,10 @@ sets, where pairs would be many, frequent shingles are indexed singly as well (t
 overlap, so no pair of sets falls between).
 
 Candidates are verified on the shingles themselves. Only links between different components matter,
-so each index entry first compares its members with one of them, in rounds, and the components found
-so far take part in the next. At the end every pair of members of one entry that are still in
+so entries with many members first compare these with one of them, in rounds, and the components
+found so far take part in the next. At the end every pair of members of one entry that are still in
 different components is verified: no link is lost, and groups of copies never become all pairs.
+Before a pair's texts meet, the parities of both sets (a bound on what they differ by) must allow it.
 
 Shingles are 64-bit hashes. The list of frequent shingles is broadcast; its length is bounded
 (``FREQUENT_LIMIT``), as a shingle must have a fixed share of all.
@@ -39,7 +40,9 @@ FREQUENT_LEAST = 48
 COUNT_CHUNK = 1 << 21
 #: Sets up to this size index pairs of frequent shingles, larger ones single shingles.
 PAIRS_UPTO = 256
-ROUNDS = 3
+#: Rounds against one member of each entry before all pairs that are left; none where pairs are few.
+ROUNDS, DIRECT = 2, 8
+BITS = 512
 GROUP = 256
 
 
@@ -53,7 +56,7 @@ def shared_in_prefix(n: int, percent: int) -> int:
     return max(1, min(needed(n, percent), 2 + n // 40))
 
 
-def frequent_shingles(docs: DataFrame, n: int, lower: bool) -> list[tuple[int, int]]:
+def frequent_shingles(docs: DataFrame, n: int, lower: bool, stage: Stage) -> list[tuple[int, int]]:
     """Shingles with a share of all over a bound, and their counts (within one per counted chunk)."""
 
     def run(batches):
@@ -80,30 +83,34 @@ def frequent_shingles(docs: DataFrame, n: int, lower: bool) -> list[tuple[int, i
             yield counted()
 
     parts = docs.select("text").mapInArrow(run, "token bigint, count bigint, is_token boolean")
-    sums = parts.groupBy("token", "is_token").agg(F.sum("count").alias("count"))
+    sums = stage.keep(parts.groupBy("token", "is_token").agg(F.sum("count").alias("count")), "counts")
     totals = sums.agg(F.sum(F.when(~F.col("is_token"), F.col("count")))).first()[0] or 0
     least = max(FREQUENT_LEAST, -(-totals // FREQUENT_LIMIT))
-    found = sums.filter(F.col("is_token") & (F.col("count") >= least))
-    return sorted((r["count"], r["token"]) for r in found.select("token", "count").toLocalIterator())
+    found = sums.filter(F.col("is_token") & (F.col("count") >= least)).select("count", "token").toArrow()
+    stage.drop("counts")
+    return sorted(zip(found.column("count").to_pylist(), found.column("token").to_pylist(), strict=True))
 
 
 def signed_sets(docs: DataFrame, frequent: list[tuple[int, int]], n: int, percent: int, lower: bool) -> DataFrame:
-    """doc_id, size of the set, two fingerprints of it, and the rare and the frequent part of its prefix."""
+    """doc_id, size of the set, two fingerprints of it, the parity of its shingles over ``BITS`` places,
+    and the rare and the frequent part of its prefix."""
     spark = docs.sparkSession
     tokens = np.array([t for _, t in frequent], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n bigint, f1 bigint, f2 bigint, rare array<bigint>, often array<bigint>"
+    schema = f"doc_id {id_type}, n bigint, f1 bigint, f2 bigint, bits array<bigint>, rare array<bigint>, often array<bigint>"
 
     def step(batch: pa.RecordBatch):
         known, rank = shared.value
-        sizes, f1, f2, rare, often = [], [], [], [], []
+        sizes, f1, f2, bits, rare, often = [], [], [], [], [], []
         for own in shingle_sets(words_of(batch.column("text"), lower), n):
             size = len(own)
             sizes.append(size)
             f1.append(mix(own).sum(dtype=np.uint64))
             f2.append(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+            odd = (np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+            bits.append(np.packbits(odd).view(np.int64))
             length = min(size, size - needed(size, percent) + shared_in_prefix(size, percent))
             if len(known) and size:
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -119,6 +126,7 @@ def signed_sets(docs: DataFrame, frequent: list[tuple[int, int]], n: int, percen
             "n": sizes,
             "f1": np.array(f1, dtype=np.uint64).view(np.int64),
             "f2": np.array(f2, dtype=np.uint64).view(np.int64),
+            "bits": bits,
             "rare": rare,
             "often": often,
         }
@@ -126,13 +134,15 @@ def signed_sets(docs: DataFrame, frequent: list[tuple[int, int]], n: int, percen
     return mapped(docs, schema, step)
 
 
-def index_entries(nodes: DataFrame, percent: int) -> DataFrame:
+def index_entries(nodes: DataFrame, percent: int, stage: Stage) -> DataFrame:
     """(sig, node, n): the index entries of the nodes that can have a partner; entries of one node go.
 
     ``nodes``: node, n, rare, often.
     """
     singles = nodes.select("node", F.explode("rare").alias("token"))
-    shared = singles.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    # Tables of counts are written before rows meet them: each join deals both sides itself, and Spark
+    # can split the rows of a hot key.
+    shared = stage.keep(singles.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
     met = singles.join(shared, "token").groupBy("node").agg(F.collect_list("token").alias("rare"))
     own = nodes.select("node", "n", "often", F.size("rare").alias("n_rare")).join(met, "node", "left")
     smallest = F.ceil(F.col("n") * percent / 100)
@@ -201,76 +211,87 @@ def similar_groups(
     spark: SparkSession = docs.sparkSession
     stage = Stage(spark)
     own = chosen(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = stage.keep(signed_sets(own, frequent_shingles(own, n, lower), n, percent, lower), "sets")
+    sets = stage.keep(signed_sets(own, frequent_shingles(own, n, lower, stage), n, percent, lower), "sets")
     full = sets.filter("doc_id IS NOT NULL AND n > 0")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    member = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "f1", "f2", "node")
-    first = F.col("doc_id") == F.col("node")
-    nodes = full.join(classes.withColumn("doc_id", F.col("node")), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2", "node"])
-    entries = stage.keep(index_entries(nodes.select("node", "n", "rare", "often"), percent), "entries-all")
+    classes = stage.keep(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
+    plain = sets.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
+    member = stage.keep(plain.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "members")
+    first = full.join(classes.withColumn("doc_id", F.col("node")), ["f1", "f2", "doc_id"]).select("node", "n", "bits", "rare", "often")
+    nodes = stage.keep(first, "nodes")
+    stage.drop("sets")
+    entries = stage.keep(index_entries(nodes, percent, stage), "entries-all")
     shared = entries.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
+    shared = stage.keep(shared, "shared")
     posting = stage.keep(entries.join(shared, "sig").distinct(), "entries")
+    stage.drop("entries-all")
     candidates = posting.select("node").distinct()
-    texts = stage.keep(
-        own.join(candidates, own["doc_id"] == candidates["node"]).select("node", "text"), "texts"
-    )
+    bits = stage.keep(nodes.select("node", *[F.get("bits", F.lit(i)).alias(f"p{i}") for i in range(BITS // 64)]).join(candidates, "node"), "bits")
+    stage.drop("nodes")
+    texts = stage.keep(own.join(candidates, own["doc_id"] == candidates["node"]).select("node", "text"), "texts")
     # Rows of one identifier with different texts belong together.
-    links = stage.keep(
-        member.groupBy("doc_id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).filter("size(all) > 1").select(F.explode("all").alias("a"), "b"),
-        "links-0",
-    )
+    several = member.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.collect_set("node").alias("all"))
+    links = stage.keep(several.filter("b < hi").select(F.explode("all").alias("a"), "b"), "links")
+    at = posting.withColumn("label", F.col("node"))
     labels = None
     for turn in range(ROUNDS + 1):
-        at = posting.select("sig", "node", "n")
-        if labels is None:
-            at = at.withColumn("label", F.col("node"))
-        else:
-            at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            at = stage.keep(at, f"labelled-{turn}")
-            mixed = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-            at = stage.keep(at.join(mixed, "sig"), f"mixed-{turn}")
-            stage.drop(f"labelled-{turn}")
-        pairs = _center_pairs(at, turn, percent) if turn < ROUNDS else _all_pairs(at, percent)
-        pairs = stage.keep(pairs, f"pairs-{turn}")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
+        kept = at
+        last = turn == ROUNDS or _work(at) <= DIRECT * max(1, at.count())
+        known = at.join(bits, "node")
+        pairs = stage.keep(_all_pairs(known, percent) if last else _center_pairs(known, turn, percent), f"pairs-{turn}")
+        new = stage.keep(verified(pairs, texts, n, percent, lower), f"links-{turn}")
+        if labels is None or not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links, stage, f"labels-{turn}")
+        if last:
             break
-        links = links.unionByName(stage.keep(verified(pairs, texts, n, percent, lower), f"links-{turn + 1}"))
-        labels = components(links, stage, f"labels-{turn}")
-    result = sets.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    if labels is None:
-        result = result.withColumn("label", F.lit(None).cast("long"))
-    else:
-        result = result.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        # Entries whose members are still in different components.
+        at = kept.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        at = stage.keep(at, f"labelled-{turn}")
+        mixed = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+        mixed = stage.keep(mixed, f"mixed-sigs-{turn}")
+        at = stage.keep(at.join(mixed, "sig"), f"mixed-{turn}")
+        stage.drop(f"labelled-{turn}")
+    result = member.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    component = F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id"))
     return result.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     )
 
 
-def _fits(percent: int) -> F.Column:
-    """Sizes of two sets that can be over the threshold at all."""
-    return (F.col("n") * 100 >= F.col("c_n") * percent) & (F.col("c_n") * 100 >= F.col("n") * percent)
+def _work(at: DataFrame) -> int:
+    """Pairs that the entries would have, those of an entry's largest component left out."""
+    sizes = at.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.max("c").alias("main"))
+    return sizes.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("main"))), F.lit(0))).first()[0]
+
+
+def _near(percent: int) -> F.Column:
+    """Can two sets be over the threshold, by their sizes and parities? A shingle that only one of
+    them has changes the parity of one place."""
+    fits = (F.col("n") * 100 >= F.col("c_n") * percent) & (F.col("c_n") * 100 >= F.col("n") * percent)
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"c_p{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return fits & (differ * (100 + percent) <= (F.col("n") + F.col("c_n")) * (100 - percent))
+
+
+def _as_center(at: DataFrame) -> list[F.Column]:
+    return [F.col("node").alias("center"), *[F.col(c).alias(f"c_{c}") for c in at.columns if c not in ("sig", "node")]]
 
 
 def _center_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every member of an index entry with one of them (another in every round) in another component."""
     rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), F.col("node"))
-    pick = at.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("center"), F.col("label").alias("c_label"), F.col("n").alias("c_n"))).alias("c"))
-    met = at.join(pick, "sig").select("node", "label", "n", "c.center", "c.c_label", "c.c_n")
-    return met.filter((F.col("label") != F.col("c_label")) & _fits(percent)).select("node", "center").distinct()
+    pick = at.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), *_as_center(at))).alias("c")).select("sig", "c.*")
+    return at.join(pick, "sig").filter((F.col("label") != F.col("c_label")) & _near(percent)).select("node", "center").distinct()
 
 
 def _all_pairs(at: DataFrame, percent: int) -> DataFrame:
-    """Every pair of members of an index entry in different components.
+    """Every pair of members of an index entry in different components that is not ruled out.
 
     The largest component of an entry is not paired with itself; its members meet the others only.
     """
     sizes = at.groupBy("sig", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("m")).select("sig", F.col("m.label").alias("main"))
     split = at.join(main, "sig")
-    few = split.filter("label <> main").select("sig", F.col("node").alias("center"), F.col("label").alias("c_label"), F.col("n").alias("c_n"))
-    met = split.join(few, "sig").filter(
-        (F.col("label") != F.col("c_label")) & _fits(percent) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("center")))
-    )
+    few = split.filter("label <> main").select("sig", *_as_center(at))
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("center"))
+    met = split.join(few, "sig").filter((F.col("label") != F.col("c_label")) & once & _near(percent))
     return met.select("node", "center").distinct()
