@@ -191,8 +191,12 @@ def _profile(points: DataFrame, angles: Column) -> DataFrame:
 
 
 def tilt(mask: DataFrame, least_points: int, span: float = 20.0) -> DataFrame:
-    """Angle whose row projection is sharpest: quarter degrees first, then fiftieths around the best."""
-    ink = mask.where("ink").join(sizes(mask), IMAGE)
+    """Angle whose row projection is sharpest: quarter degrees first, then fiftieths around the best.
+
+    Null for an image with fewer ink points than ``least_points``.
+    """
+    extent = sizes(mask)
+    ink = mask.where("ink").join(extent, IMAGE)
     points = ink.select(IMAGE, (F.col("x") - F.col("w") / 2).alias("px"), (F.col("y") - F.col("h") / 2).alias("py"))
     enough = points.groupBy(IMAGE).agg(F.count("*").alias("points")).where(F.col("points") >= least_points)
     points = points.join(enough, IMAGE)
@@ -206,7 +210,7 @@ def tilt(mask: DataFrame, least_points: int, span: float = 20.0) -> DataFrame:
     both = best.join(refined, IMAGE)
     finer = F.col("b.energy") > F.col("coarse_energy")
     deg = F.when(finer, -F.col("b.less")).otherwise(F.col("coarse_deg"))
-    return both.select(IMAGE, F.round(deg, 2).alias("tilt_deg"))
+    return extent.select(IMAGE).join(both.select(IMAGE, F.round(deg, 2).alias("tilt_deg")), IMAGE, "left")
 
 
 def _fine(points: DataFrame, best: DataFrame, around: Column) -> DataFrame:

@@ -190,8 +190,9 @@ _FINE = _sql_energy(
 @query(
     "tilt_estimate",
     f"""
-    SELECT t.image_id, round(CASE WHEN f.fe > t.ce THEN f.fd ELSE t.cd END, 2) AS tilt_deg FROM fx_tilt t
-    JOIN (SELECT image_id, max(energy) AS fe, arg_max(deg, (energy, -deg)) AS fd FROM ({_FINE}) GROUP BY image_id) f USING (image_id)
+    SELECT i.image_id, round(CASE WHEN f.fe > t.ce THEN f.fd ELSE t.cd END, 2) AS tilt_deg
+    FROM (SELECT DISTINCT image_id FROM fx_ink) i LEFT JOIN fx_tilt t USING (image_id)
+    LEFT JOIN (SELECT image_id, max(energy) AS fe, arg_max(deg, (energy, -deg)) AS fd FROM ({_FINE}) GROUP BY image_id) f ON f.image_id = t.image_id
     """,
 )
 def tilt_estimate(t: Tables) -> DataFrame:
@@ -440,12 +441,14 @@ _FIT = """,
 
 @query(
     "polyfit_quadratic",
-    _LINES + _FIT + " SELECT page_id, line, CAST(n AS BIGINT) AS n, round(c2, 6) AS c2, round(c1, 5) AS c1, round(c0, 5) AS c0 FROM shape WHERE n >= 6",
+    _LINES + _FIT + " SELECT page_id, line, CAST(n AS BIGINT) AS n, CASE WHEN n >= 6 THEN round(c2, 6) END AS c2, CASE WHEN n >= 6 THEN round(c1, 5) END AS c1, CASE WHEN n >= 6 THEN round(c0, 5) END AS c0 FROM shape",
 )
 def polyfit_quadratic(t: Tables) -> DataFrame:
-    fit = im.quadratic_fit(lines(t), ["page_id", "line"], "cx", "cy").where("n >= 6")
+    """Fit of every line; a line of fewer than six letters has a row without coefficients."""
+    fit = im.quadratic_fit(lines(t), ["page_id", "line"], "cx", "cy")
+    known = F.col("n") >= 6
     return fit.select(
-        "page_id", "line", "n", F.round("c2", 6).alias("c2"), F.round("c1", 5).alias("c1"), F.round("c0", 5).alias("c0")
+        "page_id", "line", "n", *[F.when(known, F.round(c, d)).alias(c) for c, d in (("c2", 6), ("c1", 5), ("c0", 5))]
     )
 
 
