@@ -10,7 +10,7 @@ Built-in DataFrame functions only.
 
 Defined cases: null text has no words, lines or symbols; null language and null source are groups
 of their own; repeated rows are judged one by one; an empty table gives an empty result; further
-columns of the input are kept as they are when their names do not clash with the measures.
+columns of the input are kept as they are, unless they have the name of a measure, which replaces them.
 """
 
 from __future__ import annotations
@@ -90,8 +90,10 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """The input with its counts, base verdict and measures (whole numbers)."""
-    names = docs.columns
-    df = docs.withColumn("_text", F.coalesce(docs[text_col], F.lit("")))
+    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *MEASURES]
+    steps = ["_text", "_words", "_lines", "_n", "_sorted", "_maybe", "_windows", "_starts"]
+    names = [c for c in docs.columns if c not in [*made, *steps]]
+    df = docs.select(*[docs[c] for c in names], F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     df = once(
         df,
         {
@@ -120,8 +122,7 @@ def measured(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_r
             "repeat_rate": F.expr("n_repeat_words * 10000 div greatest(n_words, 1)"),
         }
     )
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *MEASURES]
-    return df.select(*[n for n in names if n not in made], *made)
+    return df.select(*names, *made)
 
 
 def binned(value: Column) -> Column:
@@ -196,4 +197,5 @@ def judged(measures: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFra
         if low:
             inside &= F.col(m) >= F.col(f"{m}_low")
     joined = measures.join(bounds, on, "left")
-    return joined.select(*[measures[c] for c in measures.columns], F.coalesce(inside, F.lit(False)).alias("kept"))
+    names = [c for c in measures.columns if c != "kept"]
+    return joined.select(*[measures[c] for c in names], F.coalesce(inside, F.lit(False)).alias("kept"))
