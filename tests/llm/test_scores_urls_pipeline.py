@@ -102,9 +102,10 @@ def test_gradients_are_those_of_differences():
 def test_held_out_documents_are_foreseen_better_than_by_counts(make):
     rng = np.random.default_rng(3)
     words = [[f"w{k}{i}" for i in range(40)] for k in range(4)]
-    rows = [(i, " ".join(rng.choice(words[i % 4], 80))) for i in range(600)]
-    got = [r for r in lm_scores.scored(make(rows)).collect() if r.held_out]
-    assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+    rows = [(i, " ".join(rng.choice(words[i % 4], 80))) for i in range(3000)]
+    got = [r for r in lm_scores.scored(make(rows).coalesce(2)).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.995 * sum(r.base_score for r in got)
+    assert sum(r.score > r.base_score for r in got) > 0.9 * len(got)
 
 
 # URL filters
