@@ -509,16 +509,12 @@ def distinct_counts(t: Tables) -> DataFrame:
 
 @query(
     "dedupe_identity",
-    "SELECT count(*) AS answers FROM (SELECT DISTINCT session_id, round(x0, 3), round(y0, 3), round(y2, 3) FROM fx_readings)",
+    "SELECT count(*) AS answers FROM (SELECT DISTINCT session_id, round(x0, 6), round(y0, 6), round(x1, 6), round(y1, 6), round(x2, 6), round(y2, 6), round(x3, 6), round(y3, 6) FROM fx_readings)",
 )
 def dedupe_identity(t: Tables) -> DataFrame:
-    """Answers that are the same quad but for rounding count once."""
+    """Answers whose corners are all the same to a millionth count once."""
     rows = b.readings(t)
-    keys = [
-        F.round(g.corner(F.col("quad"), 0)["x"], 3).alias("x0"),
-        F.round(g.corner(F.col("quad"), 0)["y"], 3).alias("y0"),
-        F.round(g.corner(F.col("quad"), 2)["y"], 3).alias("y2"),
-    ]
+    keys = [F.round(g.corner(F.col("quad"), i)[a], 6).alias(f"{a}{i}") for i in range(4) for a in "xy"]
     return rows.select("session_id", *keys).dropDuplicates().agg(F.count("*").alias("answers"))
 
 
