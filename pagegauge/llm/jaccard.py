@@ -10,10 +10,10 @@ sets, where pairs would be many, frequent shingles are indexed singly as well (t
 overlap, so no pair of sets falls between).
 
 Candidates are verified on the shingles themselves. Only links between different components matter,
-so entries with many members first compare these with one of them, in rounds, and the components
-found so far take part in the next. At the end every pair of members of one entry that are still in
-different components is verified: no link is lost, and groups of copies never become all pairs.
-Before a pair's texts meet, the parities of both sets (a bound on what they differ by) must allow it.
+so entries with many members first compare these with a few of them. Then every pair of members of
+one entry that are still in different components is verified: no link is lost, and groups of copies
+never become all pairs. Before a pair's texts meet, the parities of both sets (a bound on what they
+differ by) must allow it.
 
 Shingles are 64-bit hashes. The list of frequent shingles is broadcast; its length is bounded
 (``FREQUENT_LIMIT``), as a shingle must have a fixed share of all.
@@ -40,8 +40,8 @@ FREQUENT_LEAST = 48
 COUNT_CHUNK = 1 << 21
 #: Sets up to this size index pairs of frequent shingles, larger ones single shingles.
 PAIRS_UPTO = 256
-#: Rounds against one member of each entry before all pairs that are left; none where pairs are few.
-ROUNDS, DIRECT = 2, 8
+#: Members of an entry that all others meet before all pairs that are left do; none where pairs are few.
+CENTERS, DIRECT = 3, 8
 BITS = 512
 GROUP = 256
 
@@ -233,11 +233,11 @@ def similar_groups(
     links = stage.keep(several.filter("b < hi").select(F.explode("all").alias("a"), "b"), "links")
     at = posting.withColumn("label", F.col("node"))
     labels = None
-    for turn in range(ROUNDS + 1):
+    for turn in range(2):
         kept = at
-        last = turn == ROUNDS or _work(at) <= DIRECT * max(1, at.count())
+        last = turn == 1 or _work(at) <= DIRECT * max(1, at.count())
         known = at.join(bits, "node")
-        pairs = stage.keep(_all_pairs(known, percent) if last else _center_pairs(known, turn, percent), f"pairs-{turn}")
+        pairs = stage.keep(_all_pairs(known, percent) if last else _center_pairs(known, percent), f"pairs-{turn}")
         new = stage.keep(verified(pairs, texts, n, percent, lower), f"links-{turn}")
         if labels is None or not new.isEmpty():
             links = links.unionByName(new)
@@ -276,10 +276,11 @@ def _as_center(at: DataFrame) -> list[F.Column]:
     return [F.col("node").alias("center"), *[F.col(c).alias(f"c_{c}") for c in at.columns if c not in ("sig", "node")]]
 
 
-def _center_pairs(at: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Every member of an index entry with one of them (another in every round) in another component."""
-    rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), F.col("node"))
-    pick = at.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), *_as_center(at))).alias("c")).select("sig", "c.*")
+def _center_pairs(at: DataFrame, percent: int) -> DataFrame:
+    """Every member of an index entry with ``CENTERS`` of them."""
+    ranks = [F.xxhash64(F.lit(i), F.col("node")) if i else F.col("node") for i in range(CENTERS)]
+    least = F.array(*[F.min(F.struct(r.alias("r"), *_as_center(at))) for r in ranks])
+    pick = at.groupBy("sig").agg(least.alias("c")).select("sig", F.inline("c"))
     return at.join(pick, "sig").filter((F.col("label") != F.col("c_label")) & _near(percent)).select("node", "center").distinct()
 
 
