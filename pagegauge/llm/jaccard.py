@@ -10,9 +10,9 @@ sets, where pairs would be many, frequent shingles are indexed singly as well (t
 overlap, so no pair of sets falls between).
 
 Candidates are verified on the shingles themselves. Only links between different components matter,
-so entries with many members first compare these with a few of them. Then every pair of members of
-one entry that are still in different components is verified: no link is lost, and groups of copies
-never become all pairs. Before a pair's texts meet, the parities of both sets (a bound on what they
+so the members of an entry are first compared with the smallest of them. Then every pair of members
+of one entry that are still in different components is verified: no link is lost, and groups of
+copies never become all pairs. Before a pair's texts meet, the parities of both sets (a bound on what they
 differ by) must allow it.
 
 Shingles are 64-bit hashes. The list of frequent shingles is broadcast; its length is bounded
@@ -40,8 +40,6 @@ FREQUENT_LEAST = 48
 COUNT_CHUNK = 1 << 21
 #: Sets up to this size index pairs of frequent shingles, larger ones single shingles.
 PAIRS_UPTO = 256
-#: Members of an entry that all others meet before all pairs that are left do; none where pairs are few.
-CENTERS, DIRECT = 3, 8
 BITS = 512
 GROUP = 256
 
@@ -232,25 +230,19 @@ def similar_groups(
     several = member.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.collect_set("node").alias("all"))
     links = stage.keep(several.filter("b < hi").select(F.explode("all").alias("a"), "b"), "links")
     at = posting.withColumn("label", F.col("node"))
-    labels = None
-    for turn in range(2):
-        kept = at
-        last = turn == 1 or _work(at) <= DIRECT * max(1, at.count())
-        known = at.join(bits, "node")
-        pairs = stage.keep(_all_pairs(known, percent) if last else _center_pairs(known, percent), f"pairs-{turn}")
-        new = stage.keep(verified(pairs, texts, n, percent, lower), f"links-{turn}")
-        if labels is None or not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links, stage, f"labels-{turn}")
-        if last:
-            break
-        # Entries whose members are still in different components.
-        at = kept.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        at = stage.keep(at, f"labelled-{turn}")
-        mixed = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-        mixed = stage.keep(mixed, f"mixed-sigs-{turn}")
-        at = stage.keep(at.join(mixed, "sig"), f"mixed-{turn}")
-        stage.drop(f"labelled-{turn}")
+    known = at.join(bits, "node")
+    pairs = stage.keep(_center_pairs(known, percent), "pairs-0")
+    links = links.unionByName(stage.keep(verified(pairs, texts, n, percent, lower), "links-0"))
+    labels = components(links, stage, "labels-0")
+    # Entries whose members are still in different components.
+    at = posting.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = stage.keep(at, "labelled")
+    mixed = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+    mixed = stage.keep(mixed, "mixed")
+    pairs = stage.keep(_all_pairs(at.join(mixed, "sig").join(bits, "node"), percent), "pairs-1")
+    new = stage.keep(verified(pairs, texts, n, percent, lower), "links-1")
+    if not new.isEmpty():
+        labels = components(links.unionByName(new), stage, "labels-1")
     result = member.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id"))
     return result.select(
@@ -258,12 +250,6 @@ def similar_groups(
     )
 
 
-def _work(at: DataFrame) -> int:
-    """Pairs that the entries would have, those of an entry's largest component left out."""
-    sizes = at.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.max("c").alias("main"))
-    return sizes.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("main"))), F.lit(0))).first()[0]
-
-
 def _near(percent: int) -> F.Column:
     """Can two sets be over the threshold, by their sizes and parities? A shingle that only one of
     them has changes the parity of one place."""
@@ -277,10 +263,8 @@ def _as_center(at: DataFrame) -> list[F.Column]:
 
 
 def _center_pairs(at: DataFrame, percent: int) -> DataFrame:
-    """Every member of an index entry with ``CENTERS`` of them."""
-    ranks = [F.xxhash64(F.lit(i), F.col("node")) if i else F.col("node") for i in range(CENTERS)]
-    least = F.array(*[F.min(F.struct(r.alias("r"), *_as_center(at))) for r in ranks])
-    pick = at.groupBy("sig").agg(least.alias("c")).select("sig", F.inline("c"))
+    """Every member of an index entry with its smallest one."""
+    pick = at.groupBy("sig").agg(F.min(F.struct(*_as_center(at))).alias("c")).select("sig", "c.*")
     return at.join(pick, "sig").filter((F.col("label") != F.col("c_label")) & _near(percent)).select("node", "center").distinct()
 
 
