@@ -23,12 +23,13 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: failed base rules, or outside the fences of their language and source."""
+    """Rejected documents go: failed base rules, or outside the fences of their language and source,
+    which their sketch decides (``quality.upper_fences``; op10 has the fences that its SQL states)."""
     ready(spark)
-    whole = docs.select("text", *GROUPS, F.struct(*docs.columns).alias("doc"))
+    whole = docs.select("text", *GROUPS, F.struct(*docs.columns).alias("doc"), fingerprint(F.col("text")).alias("text_key"))
     rows = Stage(spark).keep(quality.measured(whole).drop("text"), "measures")
-    bounds = quality.fences(quality.sketches(rows, GROUPS), len(GROUPS))
-    return quality.judged(rows, bounds, GROUPS).filter("kept").select("doc.*")
+    bounds = quality.upper_fences(quality.sketches(quality.distinct_texts(rows, GROUPS, "text_key"), GROUPS), len(GROUPS))
+    return quality.judged_by_sketch(rows, bounds, GROUPS).filter("kept").select("doc.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

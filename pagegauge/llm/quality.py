@@ -6,6 +6,10 @@ and a bin is within 1/32 of any value in it. The number of bins of a group is bo
 a long, whatever the rows. Groups with few documents use the sketch of their language, or of all.
 The fences of a group are joined back to its documents.
 
+Two rules make fences of a sketch. ``fences`` is the one that the SQL of op10 states: quartiles, and a fixed
+least spread per measure. ``upper_fences`` is the pipeline's: the spread is that of the upper eighths
+of the sketch, over texts counted once, and the least spread is one event in the document itself.
+
 Built-in DataFrame functions only.
 
 Defined cases: null text has no words, lines or symbols; null language and null source are groups
@@ -31,6 +35,16 @@ MEASURES = {
     "dup_line_rate": (2_000, False),
     "repeat_rate": (1_500, False),
 }
+#: What one event makes of a measure in a document: a symbol, a repeated line, two equal windows or the
+#: words of its repeated lines; of a mean length, what it errs by over so many words.
+EVENTS = {
+    "symbol_rate": "ceil(10000 / greatest(n_words, 1))",
+    "mean_length": "CAST(mean_length_sketch.mid / (2 * sqrt(greatest(n_words, 1))) AS BIGINT)",
+    "dup_line_rate": "ceil(10000 / greatest(n_lines, 1))",
+    "repeat_rate": "greatest(ceil(60000 / greatest(n_words, 1)), dup_line_rate)",
+}
+#: One event in the shortest document that the base rules pass, one in fifty.
+LEAST_RATE = 200
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -140,10 +154,9 @@ def sketches(measures: DataFrame, groups: list[str]) -> DataFrame:
     return rows.groupBy(*[f"g{i}" for i in range(len(groups))], "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3) -> DataFrame:
-    """One row per group with the bounds of every measure, from the finest sketch with enough documents."""
-    keys = [f"g{i}" for i in range(groups)]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(groups))).alias("level")
+def _ranked(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of every level, with the documents up to each bin and in all."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(len(keys)))).alias("level")
     merged = (
         sketch.select("*", levels)
         .select(
@@ -153,12 +166,19 @@ def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3)
         .agg(F.sum("n").alias("n"))
     )
     whole = Window.partitionBy(*keys, "level", "measure")
-    ranked = merged.withColumns(
+    return merged.withColumns(
         {
             "upto": F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)),
             "total": F.sum("n").over(whole),
         }
     )
+
+
+def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3) -> DataFrame:
+    """One row per group with the bounds of every measure, from the finest sketch with enough documents."""
+    keys = [f"g{i}" for i in range(groups)]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(groups))).alias("level")
+    ranked = _ranked(sketch, keys)
     quarter = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bin")))
     table = ranked.groupBy(*keys, "level", "measure").agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
     least = F.create_map(*[F.lit(x) for m, (spread, _) in MEASURES.items() for x in (m, spread)])
@@ -199,3 +219,58 @@ def judged(measures: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFra
     joined = measures.join(bounds, on, "left")
     names = [c for c in measures.columns if c != "kept"]
     return joined.select(*[measures[c] for c in names], F.coalesce(inside, F.lit(False)).alias("kept"))
+
+
+def distinct_texts(measures: DataFrame, groups: list[str], text_key: str) -> DataFrame:
+    """Groups, base verdict and measures of every text of a group once; ``text_key`` tells texts apart."""
+    return measures.select(*groups, text_key, "base_failed", *MEASURES).distinct()
+
+
+def upper_fences(sketch: DataFrame, groups: int, min_docs: int = 100) -> DataFrame:
+    """One row per group: the eighths that each measure's fences start from and their distance to the median.
+
+    Every measure takes the finest sketch with enough documents whose spread is not 0; where all are
+    0, the finest with enough documents.
+    """
+    keys = [f"g{i}" for i in range(groups)]
+    eighth = lambda k: F.min(F.when(8 * F.col("upto") >= k * F.col("total"), F.col("bin")))
+    table = (
+        _ranked(sketch, keys)
+        .groupBy(*keys, "level", "measure")
+        .agg(eighth(1).alias("low"), eighth(4).alias("mid"), eighth(7).alias("high"), F.max("total").alias("total"))
+    )
+    levels = F.explode(F.sequence(F.lit(0), F.lit(groups))).alias("at")
+    asked = table.filter(F.col("level") == groups).select(
+        *[F.col(k).alias(f"own_{k}") for k in keys], F.col("measure").alias("own_measure"), levels
+    )
+    asked = asked.select("*", *[F.when(F.col("at") > i, F.col(f"own_{k}")).alias(f"asked_{k}") for i, k in enumerate(keys)])
+    on = (F.col("at") == F.col("level")) & (F.col("own_measure") == F.col("measure"))
+    for k in keys:
+        on &= F.col(f"asked_{k}").eqNullSafe(F.col(k))
+    met = asked.join(table, on).filter((F.col("total") >= min_docs) | (F.col("level") == 0))
+    best = met.groupBy(*[f"own_{k}" for k in keys], "own_measure").agg(
+        F.max_by(F.struct("low", "mid", "high"), F.struct(F.col("high") > F.col("mid"), F.col("level"))).alias("best")
+    )
+    return best.groupBy(*[F.col(f"own_{k}").alias(k) for k in keys]).agg(
+        *[F.max(F.when(F.col("own_measure") == m, F.col("best"))).alias(f"{m}_sketch") for m in MEASURES]
+    )
+
+
+def judged_by_sketch(measures: DataFrame, bounds: DataFrame, groups: list[str], width: int = 3) -> DataFrame:
+    """``measures`` with ``kept``, under the fences of ``upper_fences``.
+
+    A fence is ``width`` spreads outside its eighth. The spread is the sketch's, and at least one
+    event in the document or in the shortest one that the base rules pass.
+    """
+    on = F.lit(True)
+    for i, g in enumerate(groups):
+        on &= measures[g].eqNullSafe(bounds[f"g{i}"])
+    inside = ~F.col("base_failed")
+    for m, (_, both) in MEASURES.items():
+        low, mid, high = (F.col(f"{m}_sketch.{x}") for x in ("low", "mid", "high"))
+        least = F.greatest(F.lit(LEAST_RATE), F.expr(EVENTS[m]))
+        inside &= F.col(m) <= high + width * F.greatest(high - mid, least)
+        if both:
+            inside &= F.col(m) >= low - width * F.greatest(mid - low, least)
+    names = [c for c in measures.columns if c != "kept"]
+    return measures.join(bounds, on, "left").select(*[measures[c] for c in names], F.coalesce(inside, F.lit(False)).alias("kept"))

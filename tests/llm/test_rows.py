@@ -179,3 +179,16 @@ def test_merged_sketches_are_the_sketch_of_all(spark, make, prose):
     both = parts[0].unionByName(parts[1]).groupBy("g0", "measure", "bin").agg({"n": "sum"})
     whole = quality.sketches(quality.measured(docs[0].unionByName(docs[1])), ["lang"])
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_pipeline_fences_come_from_the_sketch(spark, make, prose, tmp_path):
+    """Word lists with a bar after two words of five are outside what their group's sketch allows, also
+    where a hundred copies of one are among its rows."""
+    import corpus_pipeline as pipeline
+
+    listed = lambda seed: " ".join(w + (" |" if i % 5 < 2 else "") for i, w in enumerate(prose(seed, 120).split()))
+    one_bar = prose(500, 60) + "|"
+    rows = [(i, prose(i, 80)) for i in range(120)] + [(200 + i, listed(300 + i)) for i in range(6)] + [(1000 + i, listed(900)) for i in range(150)] + [(400, one_bar)]
+    docs = make(rows, extra=False)
+    kept = {r.doc_id for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(120), 400}
