@@ -108,6 +108,26 @@ def test_held_out_documents_are_foreseen_better_than_by_counts(make):
     assert sum(r.score > r.base_score for r in got) > 0.9 * len(got)
 
 
+def test_the_model_grows_with_the_words():
+    """Every word with enough counts is a token of the model, and rarer ones differ as contexts."""
+    counts = np.append(np.full(9000, float(gated_lm.LEAST_COUNT)), np.full(5000, 1.0))
+    known = gated_lm.known_of(counts)
+    assert known == 9000 and gated_lm.known_of(counts[8000:]) == gated_lm.LEAST_KNOWN
+    params = gated_lm.initial(counts[:known], 5000, contexts=9000)
+    classes, size = params["word_b"].shape
+    assert classes * size >= 9000 and abs(classes - size) <= 1
+    rare = lm_scores._rare_ids(np.arange(5, 9, dtype=np.uint64), lm_scores._contexts(params))
+    assert (rare < 0).all() and len(set(rare)) == 4
+    every = np.append(np.arange(known), gated_lm.RARE)
+    state = gated_lm.states(params, rare, np.array([0, 1, 2, 3, 4]))
+    assert len({tuple(h) for h in state}) == 4
+    assert abs(np.exp(gated_lm.log_probs(params, np.repeat(state[:1], len(every), axis=0), every)).sum() - 1) < 1e-3
+    trainer = gated_lm.Trainer(params)
+    for _ in range(2):  # the gates learn once the weights are not 0
+        trainer.learn(np.append(8999, rare), np.append(rare, 8999), np.arange(5) == 0)
+    assert (trainer.p["gate"][8999] != params["gate"][8999]).any() and (trainer.p["word_b"] != params["word_b"]).any()
+
+
 # URL filters
 
 
