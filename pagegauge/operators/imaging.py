@@ -464,13 +464,16 @@ def letter_like(parts: DataFrame, height: Column, width: Column) -> DataFrame:
     )
 
 
-def link_letters(letters: DataFrame, scope: str, reach: float) -> DataFrame:
+def link_letters(letters: DataFrame, scope: str) -> DataFrame:
     """Letters of each page with the line they belong to (the smallest letter id on it).
 
     ``letters`` is ``scope, node, x0, x1, y0, y1, cy, height``; two of them are on one line when
     the gap is at most 2.5 heights, their centres are within half a height and they overlap by 0.3.
     """
-    left = letters.withColumn("upto", F.col("x1") + reach)
+    # No partner of a letter is further off than the tallest letter of its page allows; a pixel for rounding.
+    tallest = letters.groupBy(scope).agg(F.max("height").alias("__tallest"))
+    upto = F.col("x1") + 1.25 * (F.col("height") + F.col("__tallest")) + 1
+    left = letters.join(tallest, scope).withColumn("upto", upto).drop("__tallest")
     names = ["node", "x0", "x1", "y0", "y1", "cy", "height"]
     right = letters.select(scope, *[F.col(n).alias(f"r_{n}") for n in names])
     pair_h = 0.5 * (F.col("height") + F.col("r_height"))

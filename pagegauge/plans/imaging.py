@@ -397,7 +397,7 @@ _LINES = """
 
 
 def lines(t: Tables) -> DataFrame:
-    return im.link_letters(letters(t), "page_id", reach=2.5 * 14)
+    return im.link_letters(letters(t), "page_id")
 
 
 @query(

@@ -188,3 +188,13 @@ def test_smallest_reachable(spark):
         for _, a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == dict(enumerate(label))
+
+
+def test_tall_letters_of_one_line_are_linked(spark):
+    """The gap that a line allows follows the letters' heights: 80 px for letters of 40 px, not for 10."""
+    from pagegauge.operators.imaging import link_letters
+
+    rows = [(p, i, x, x + h, 100.0 - h / 2, 100.0 + h / 2, 100.0, h) for p, h in ((1, 40.0), (2, 10.0)) for i, x in ((1, 0.0), (2, h + 80.0))]
+    letters = spark.createDataFrame(rows, "page_id long, node long, x0 double, x1 double, y0 double, y1 double, cy double, height double")
+    got = sorted((r["page_id"], r["node"], r["line"]) for r in link_letters(letters, "page_id").collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2)]
