@@ -42,12 +42,14 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over 5-word shingles the smallest
-    number stays."""
+    number stays. Rows of one identifier are one document of the groups; of the one that stays, every
+    different text is kept, and of rows with the same text the one whose columns are smallest in order."""
     ready(spark)
     groups = jaccard.similar_groups(docs, n=5, percent=80)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
     named = docs.filter("doc_id IS NOT NULL")
-    kept = named.join(first, named["doc_id"] == first["first_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(first, named["doc_id"] == first["first_id"], "left_semi")
+    kept = kept.groupBy("doc_id", fingerprint(F.col("text"))).agg(F.min(F.struct(*docs.columns)).alias("doc")).select("doc.*")
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

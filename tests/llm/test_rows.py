@@ -192,3 +192,11 @@ def test_pipeline_fences_come_from_the_sketch(spark, make, prose, tmp_path):
     docs = make(rows, extra=False)
     kept = {r.doc_id for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
     assert kept == {*range(120), 400}
+
+
+def test_texts_that_share_an_identifier_all_stay(spark, make, prose, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, prose(1, 80)), (1, prose(2, 80)), (1, prose(2, 80)), (2, prose(3, 80)), (3, prose(3, 80))]
+    kept = pipeline.one_of_each_group(spark, make(rows, extra=False), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, prose(1, 80)), (1, prose(2, 80)), (2, prose(3, 80))])
