@@ -35,7 +35,8 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegauge.llm.base import Stage, arrow_schema, chosen, fingerprint, mapped
+from pagegauge.llm.byte_bpe import alphabet
 from pagegauge.session import ensure_checkpoint_dir
 
 LENGTH = 2048
@@ -53,7 +55,7 @@ FILE_SEQUENCES = 4096
 BATCH = 64
 MODEL_LIMIT = 64 << 20
 #: Chunks remembered by a worker before it starts afresh; what is remembered changes no result.
-CACHED = 600_000
+CACHED = 1_000_000
 #: Longer chunks are not remembered.
 REMEMBERED = 64
 #: The reflected polynomial of CRC-32 (fixed value).
@@ -68,9 +70,10 @@ MANIFEST = "shard int, file int, path string, docs_path string, sequences bigint
 class Encoder:
     """Ids of texts under a byte-level tokenizer file, chunk by chunk.
 
-    The pre-tokens of such a vocabulary never reach over a blank that stands between two other
-    characters: the blank opens the next one. Texts are cut there, and the library encodes every
-    different chunk once.
+    The pre-tokens of such a vocabulary never reach over a blank, or a line break, that stands between
+    two characters that are not white space: the blank opens the next one, the break is one of its own.
+    Texts are cut there, and the library encodes every different chunk once. A text with white space in
+    a row is cut at single blanks only.
     """
 
     def __init__(self, model: str):
@@ -82,40 +85,73 @@ class Encoder:
         self.model.no_truncation()
         self.wide = self.model.get_vocab_size() > 1 << 16
         self.known: dict[str, bytes] = {}
-        self.beside = re.compile(r" \s|\s ").search
+        # The merges alone, for pre-tokens in the vocabulary's own characters.
+        self.merged = self.model.model.tokenize
+        self.shown = dict(enumerate(alphabet()))
         self.between = re.compile(r"(?<=\S) (?=\S)").split
+        self.line, self.marks = self._single("\n"), {m: self._single(m) for m in ",."}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _single(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-        flat = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4").tobytes()
-        ends = [4 * n for n in accumulate(len(e.ids) for e in found)]
+        """Ids of chunks. Those of letters alone (and a blank before) are one pre-token, which needs no
+        looking for: they go to the merges in the vocabulary's own characters."""
+        merged, shown = self.merged, self.shown
+        plain = [c.isalpha() or c[0] == " " and c[1:].isalpha() for c in chunks]
+        rest = self.model.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False)
+        rest = iter([e.ids for e in rest])
+        found = [
+            [t.id for t in merged(c.encode().decode("latin-1").translate(shown))] if p else next(rest)
+            for c, p in zip(chunks, plain, strict=True)
+        ]
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _add(self, fresh: set[str], into: dict[str, bytes]) -> None:
-        """Ids of chunks that follow a blank. Letters and one mark after them are two pre-tokens."""
-        marked = [w for w in fresh if w[-1:] in (",", ".") and w[:-1].isalpha()]
-        stems = {w[:-1] for w in marked}.difference(self.known, into)
-        plain = list(fresh.difference(marked) | stems)
-        into.update(zip(plain, self._encoded([" " + w for w in plain]), strict=True))
-        if marked:
-            mark = dict(zip(",.", self._encoded([",", "."]), strict=True))
-            for w in marked:
-                stem = self.known.get(w[:-1])
-                into[w] = (into[w[:-1]] if stem is None else stem) + mark[w[-1]]
+    def _add(self, fresh: list[str], into: dict[str, bytes]) -> None:
+        """Ids of chunks without white space at their ends, but for the line break that may open them
+        in place of a blank. Letters and one mark after them are two pre-tokens."""
+        ends = [w[-1] if w[-1] in ",." and w[:-1].lstrip("\n").isalpha() else "" for w in fresh]
+        stems = [w[:-1] if e else w for w, e in zip(fresh, ends, strict=True)]
+        need = list({s for s in stems if s not in self.known})
+        made = dict(zip(need, self._encoded([s[1:] if s[0] == "\n" else " " + s for s in need]), strict=True))
+        into.update((s, self.line + ids if s[0] == "\n" else ids) for s, ids in made.items())
+        known = self.known
+        into.update((w, (into[s] if s in into else known[s]) + self.marks[e]) for w, s, e in zip(fresh, stems, ends, strict=True) if e)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        cut = [self.between(x) if self.beside(x) else x.split(" ") for x in batch]
-        words = set(chain.from_iterable(p[1:] for p in cut))
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
-        long = {w for w in words if len(w) > REMEMBERED}
-        own: dict[str, bytes] = {}
-        self._add(words.difference(self.known, long), self.known)
-        self._add(long, own)
-        heads = self._encoded([p[0] for p in cut])
-        known = self.known if not own else self.known | own
-        return [h + b"".join([known[w] for w in p[1:]]) for h, p in zip(heads, cut, strict=True)]
+        known = self.known
+        cut = [x.replace("\n", " \n").split(" ") for x in batch]
+        heads = [p.pop(0) for p in cut]
+        found = [list(map(known.get, p)) for p in cut]
+        holes = [list(compress(range(len(f)), map(not_, f))) for f in found]
+        fresh = {p[i] for p, h in zip(cut, holes, strict=True) for i in h}
+        # White space in a row shows in an empty chunk or one with white space at an end; such chunks
+        # are never remembered, so every text that has one is found here.
+        odd = {w for w in fresh if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())}
+        if odd:
+            for t, (p, h) in enumerate(zip(cut, holes, strict=True)):
+                if any(p[i] in odd for i in h):
+                    heads[t], *cut[t] = self.between(batch[t])
+                    found[t] = list(map(known.get, cut[t]))
+                    holes[t] = list(compress(range(len(found[t])), map(not_, found[t])))
+            fresh = {p[i] for p, h in zip(cut, holes, strict=True) for i in h}
+        if len(known) + len(fresh) > CACHED:
+            known.clear()
+        kept = {w for w in fresh if len(w) <= REMEMBERED and (w.isalpha() or len(w.split()) == 1)}
+        own = {w: self._single(" " + w) for w in fresh if w not in kept}
+        self._add([w for w in kept if w not in known], known)
+        out = []
+        for head, p, f, h in zip(heads, cut, found, holes, strict=True):
+            for i in h:
+                f[i] = own[p[i]] if p[i] in own else known[p[i]]
+            out.append((self._single(head) if head else b"") + b"".join(f))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
