@@ -35,7 +35,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain, compress
+from itertools import accumulate, chain, compress, islice
 from operator import not_
 
 import numpy as np
@@ -54,7 +54,7 @@ LENGTH = 2048
 FILE_SEQUENCES = 4096
 BATCH = 64
 MODEL_LIMIT = 64 << 20
-#: Chunks remembered by a worker before it starts afresh; what is remembered changes no result.
+#: Chunks remembered by a worker before it forgets the later half; what is remembered changes no result.
 CACHED = 1_000_000
 #: Longer chunks are not remembered.
 REMEMBERED = 64
@@ -142,7 +142,8 @@ class Encoder:
                     holes[t] = list(compress(range(len(found[t])), map(not_, found[t])))
             fresh = {p[i] for p, h in zip(cut, holes, strict=True) for i in h}
         if len(known) + len(fresh) > CACHED:
-            known.clear()
+            # What came first is what comes often.
+            known = self.known = dict(islice(known.items(), CACHED // 2))
         kept = {w for w in fresh if len(w) <= REMEMBERED and (w.isalpha() or len(w.split()) == 1)}
         own = {w: self._single(" " + w) for w in fresh if w not in kept}
         self._add([w for w in kept if w not in known], known)
