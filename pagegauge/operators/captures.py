@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.operators.detection import rate
-from pagegauge.operators.ordered import asof, interval_join, ordered
+from pagegauge.operators.ordered import asof, asof_ordered, interval_join, ordered
 from pagegauge.operators.percentiles import Wanted, with_percentiles
 from pagegauge.operators.timeline import KEY, SLICE_MS
 
@@ -25,9 +25,9 @@ def frame_on_screen(at: DataFrame, presented: DataFrame, pushed: DataFrame, fram
     """
     shown = asof(at, presented, [KEY], "t", "t", {"shown_k": F.col("k")}, SLICE_MS, tie="k")
     due = pushed.withColumn("due", F.col("t") + frame_interval)
-    both = asof(shown, due, [KEY], "t", "due", {"pushed_k": F.col("k")}, SLICE_MS, tie="k")
+    both = asof_ordered(shown, due, [KEY], "t", "due", {"pushed_k": F.col("k")}, SLICE_MS, tie="k")
     logged = presented.select(KEY).distinct().withColumn("__logged", F.lit(True))
-    both = both.join(logged, KEY, "left")
+    both = both.windowed(logged, how="left").result()
     k = F.when(F.col("__logged"), F.col("shown_k")).otherwise(F.col("pushed_k"))
     out = both.withColumn("frame_k", k).drop("shown_k", "pushed_k", "__logged")
     return out.withColumn("frame_known", F.col("frame_k").isNotNull())
@@ -35,9 +35,9 @@ def frame_on_screen(at: DataFrame, presented: DataFrame, pushed: DataFrame, fram
 
 def in_force(at: DataFrame, marks: DataFrame, value: str, default: Column) -> DataFrame:
     """The value in force at each moment; before a session's first mark its first one, else ``default``."""
-    found = asof(at, marks, [KEY], "t", "t", {"__value": F.col(value)}, SLICE_MS, tie="event_id")
+    found = asof_ordered(at, marks, [KEY], "t", "t", {"__value": F.col(value)}, SLICE_MS, tie="event_id")
     first = marks.groupBy(KEY).agg(F.min_by(F.col(value), F.struct("t", "event_id")).alias("__first"))
-    joined = found.join(first, KEY, "left")
+    joined = found.windowed(first, how="left").result()
     return joined.withColumn(value, F.coalesce("__value", "__first", default)).drop("__value", "__first")
 
 
@@ -60,9 +60,9 @@ def stitch(log: DataFrame) -> DataFrame:
     )
     rows = rows.step(
         ahead={"open": F.when(kind == "confirm-open", opening)}, lead={"next_t": F.col("capture_at")}
-    ).result()
+    )
     last_refine = log.where("is_refine").groupBy(KEY).agg(F.max("t").alias("__last_refine"))
-    captures = rows.where(kind == "capture").join(last_refine, KEY, "left")
+    captures = rows.where(kind == "capture").windowed(last_refine, how="left").result()
     before_next = F.col("next_t").isNull() | (F.col("open.t") < F.col("next_t"))
     opened = F.when(before_next, F.col("open.t"))
     done = F.when(

@@ -154,6 +154,25 @@ class Ordered:
         out = rows.withColumn(name, F.transform(taken, lambda r: r["v"]))
         return replace(self, df=out.drop("__carry", "__joined"))
 
+    def windowed(
+        self, spans: DataFrame, start: str | None = None, stop: str | None = None, width: int = 1, reach: int = 0, how: str = "inner"
+    ) -> "Ordered":
+        """Rows beside the spans of their key that touch their slice, met on ``(key, slice)``.
+
+        The table of spans and slices has one row per key, span and slice that holds rows, so an idle
+        slice costs nothing and no row is ever dealt out by its key alone. ``start`` and ``stop`` name
+        the span's ends on the slices' axis (none: open), ``width`` is that of the slices, and ``reach`` how
+        long a row may last. Spans without ends are one row of facts per key; ``how="left"`` keeps rows
+        without any. Exact conditions on the rows are the caller's.
+        """
+        occupied = self.df.select(*self.keys, SLICE).distinct()
+        touched = occupied.join(spans, list(self.keys))
+        if start is not None:
+            touched = touched.where(F.col(SLICE) >= F.floor((F.col(start) - reach) / F.lit(width)))
+        if stop is not None:
+            touched = touched.where(F.col(SLICE) <= F.floor(F.col(stop) / F.lit(width)))
+        return replace(self, df=self.df.join(touched, [*self.keys, SLICE], how))
+
     def result(self) -> DataFrame:
         return self.df.drop(SLICE)
 
@@ -176,6 +195,20 @@ def asof(
     tie: str | None = None,
     strictly_before: bool = False,
 ) -> DataFrame:
+    return asof_ordered(left, right, keys, at, right_at, payload, width, tie, strictly_before).result()
+
+
+def asof_ordered(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    at: str,
+    right_at: str,
+    payload: dict[str, Column],
+    width: int,
+    tie: str | None = None,
+    strictly_before: bool = False,
+) -> Ordered:
     """Each left row with the payload of the last right row at or before it; nulls when none.
 
     ``tie`` orders right rows that share a moment (the greatest wins).
@@ -200,10 +233,9 @@ def asof(
     )
     both = rows.unionByName(points, allowMissingColumns=True)
     series = ordered(both, keys, ["__at", "__side", "__tie"], width)
-    filled = series.step(fill={"__found": F.col("__mark")}).result()
-    return filled.where(F.col("__row").isNotNull()).select(
-        "__row.*", *[F.col(f"__found.{n}").alias(n) for n in payload]
-    )
+    filled = series.step(fill={"__found": F.col("__mark")}).where(F.col("__row").isNotNull())
+    rows_found = filled.df.select("__row.*", SLICE, *[F.col(f"__found.{n}").alias(n) for n in payload])
+    return Ordered(rows_found, tuple(keys), (at,))
 
 
 def interval_join(

@@ -80,18 +80,25 @@ def upsert_labels(current: DataFrame, incoming: DataFrame, key: str) -> DataFram
     return both.select(key, merged.alias("m"), kept.alias("kept_newer")).select(key, "m.*", "kept_newer")
 
 
-def funnel(events: DataFrame, by: str, at: str, steps: dict[str, Column]) -> DataFrame:
+def funnel(events: DataFrame, by: str, at: str, steps: dict[str, Column], width: int) -> DataFrame:
     """How many sessions reached each step, none counted before the step it follows.
 
     A step is reached by its first event at or after the moment the step before it was reached.
     """
     names = list(steps)
-    reached = events.groupBy(by).agg(F.min(F.when(steps[names[0]], F.col(at))).alias(names[0]))
-    for before, name in zip(names, names[1:]):
-        since = reached.select(F.col(by).alias("__of"), F.col(before).alias("__since"))
-        own = events.where(steps[name]).select(by, at).join(since, F.col(by) == F.col("__of"))
-        own = own.where(F.col(at) >= F.col("__since")).groupBy(by).agg(F.min(at).alias(name))
-        reached = reached.join(own, by, "left")
+    # A row per event and step it could be; at one moment a step comes before the one that follows it.
+    could = F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(steps.values())])
+    marks = events.select(by, at, F.explode(F.filter(could, lambda i: i.isNotNull())).alias("__nth"))
+    rows = ordered(marks, [by], [at, "__nth"], width)
+    for i, name in enumerate(names):
+        on = F.col("__nth") == i
+        if i:
+            on = on & F.col(names[i - 1]).isNotNull()
+        # The greatest of the negatives so far is the first moment.
+        rows = rows.step(peak={name: F.when(on, -F.col(at))})
+    reached = events.groupBy(by).agg(F.lit(1).alias("__one")).join(
+        rows.result().groupBy(by).agg(*[F.max(n).alias(n) for n in names]), by, "left"
+    )
     table = reached.agg(F.count("*").alias("sessions"), *[F.count(n).alias(n) for n in names])
     rates = [rate(F.col(n), F.col("sessions")).alias(f"{n}_rate") for n in names]
     return table.select("sessions", *names, *rates)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.functions import geometry as g
 from pagegauge.operators.detection import rate, with_quad_distance
-from pagegauge.operators.ordered import Ordered, ordered, trailing
+from pagegauge.operators.ordered import Ordered, asof, ordered, trailing
 from pagegauge.operators.percentiles import Wanted, with_percentiles
 from pagegauge.operators.timeline import KEY, SLICE_MS, series
 
@@ -79,11 +79,12 @@ def steadiest(steps: DataFrame, frames: int, earliest: int, tail: int) -> DataFr
     A frame without an answer breaks every window over it.
     """
     numbered = series(steps).step(running={"nth": F.lit(1).cast("bigint")})
-    rows = numbered.recent("last_steps", F.col("step"), frames - 1).result()
-    totals = rows.groupBy(KEY).agg(F.max("nth").alias("n"))
+    rows = numbered.recent("last_steps", F.col("step"), frames - 1)
+    totals = rows.df.groupBy(KEY).agg(F.max("nth").alias("n"))
     start = F.col("nth") - frames
     windows = (
-        rows.join(totals, KEY)
+        rows.windowed(totals)
+        .result()
         .where(
             (start >= earliest)
             & (F.col("nth") <= F.col("n") - tail)
@@ -198,9 +199,15 @@ def hint_changes(log: DataFrame) -> DataFrame:
 
 def hint_spans(changes: DataFrame, windows: DataFrame) -> DataFrame:
     """The hint in force over a window, as spans; the time before any hint is a null span."""
-    held = ordered(changes, [KEY], ["t", "event_id"], SLICE_MS).step(lead={"next_t": F.col("t")}).result()
+    held = ordered(changes, [KEY], ["t", "event_id"], SLICE_MS).step(lead={"next_t": F.col("t")})
     spans = windows.select(KEY, "from_t", "to_t")
-    rows = held.join(spans, KEY)
+    # A hint may have been in force since long before the window: that one is looked up from the
+    # window's start, the others begin inside it.
+    since = {n: F.col(n) for n in ("t", "event_id", "key", "next_t")}
+    first = asof(spans, held.result(), [KEY], "from_t", "t", since, SLICE_MS, tie="event_id").where(F.col("t").isNotNull())
+    later = held.windowed(spans, "from_t", "to_t", SLICE_MS).where(F.col("t") > F.col("from_t")).result()
+    columns = [KEY, "t", "event_id", "key", "next_t", "from_t", "to_t"]
+    rows = first.select(*columns).unionByName(later.select(*columns))
     begin = F.greatest("from_t", "t")
     end = F.least("to_t", F.coalesce("next_t", F.col("to_t")))
     return rows.withColumn("begin", begin).withColumn("end", end).where(F.col("end") > F.col("begin"))
@@ -215,9 +222,8 @@ def hint_window(changes: DataFrame, windows: DataFrame, expect: list[str]) -> Da
         F.sum(F.when(~right & F.col("key").isNotNull(), span).otherwise(0)).alias("wrong_ms"),
         F.min(F.when(right, F.col("begin"))).alias("first_right"),
     )
-    edge = changes.join(windows.select(KEY, "to_t"), KEY).where(
-        F.col("key").isin(expect) & (F.col("t") == F.col("to_t"))
-    )
+    edge = ordered(changes, [KEY], ["t", "event_id"], SLICE_MS).windowed(windows.select(KEY, "to_t"), "to_t", "to_t", SLICE_MS)
+    edge = edge.where(F.col("key").isin(expect) & (F.col("t") == F.col("to_t"))).result()
     at_end = edge.groupBy(KEY).agg(F.min("t").alias("at_end"))
     table = windows.select(KEY, "from_t", "to_t").join(times, KEY, "left").join(at_end, KEY, "left")
     table = table.fillna({"right_ms": 0, "wrong_ms": 0})
@@ -233,10 +239,10 @@ def hint_window(changes: DataFrame, windows: DataFrame, expect: list[str]) -> Da
 
 
 def churn(changes: DataFrame, windows: DataFrame) -> DataFrame:
-    inside = changes.join(windows.select(KEY, "from_t", "to_t"), KEY).where(
-        F.col("t").between(F.col("from_t"), F.col("to_t"))
-    )
-    rows = ordered(inside, [KEY], ["t", "event_id"], SLICE_MS).step(lag={"before": F.col("t")}).result()
+    spans = windows.select(KEY, "from_t", "to_t")
+    inside = ordered(changes, [KEY], ["t", "event_id"], SLICE_MS).windowed(spans, "from_t", "to_t", SLICE_MS)
+    inside = inside.where(F.col("t").between(F.col("from_t"), F.col("to_t")))
+    rows = inside.step(lag={"before": F.col("t")}).result()
     gap = F.col("t") - F.col("before")
     counted = rows.groupBy(KEY).agg(
         F.count("*").alias("changes"),

@@ -9,7 +9,7 @@ from pagegauge.functions import geometry as g
 from pagegauge.operators.detection import rate
 from pagegauge.operators.ordered import asof
 from pagegauge.operators.percentiles import LOWER_MIDDLE, Wanted, never, with_percentiles
-from pagegauge.operators.timeline import KEY, SLICE_MS, intervals, series, truth_known
+from pagegauge.operators.timeline import KEY, SLICE_MS, in_window, intervals, series, truth_known
 
 # Session limits.
 LONG_TASK_MS = 50.0
@@ -52,7 +52,7 @@ def slope(y: Column, x: Column) -> Column:
 
 
 def performance(samples: DataFrame, windows: DataFrame, task_ms: Column, heap: Column) -> DataFrame:
-    rows = samples.join(windows.select(KEY, "from_t", "to_t"), KEY).where(F.col("t").between(F.col("from_t"), F.col("to_t")))
+    rows = in_window(samples, windows).result()
     rows = rows.withColumn("task", F.when(task_ms >= LONG_TASK_MS, task_ms)).withColumn("heap", heap)
     minutes = (F.max("to_t") - F.max("from_t")) / 60000.0
     at = F.when(F.col("heap").isNotNull(), F.struct("t", "event_id"))
@@ -231,7 +231,7 @@ def capture_detects(samples: DataFrame) -> DataFrame:
     """Detections made at a capture: how many fell through to the classical one, how many were downgraded."""
     c = F.col
     first_ml = samples.groupBy(KEY).agg(F.min(F.when(c("source") == "ml", c("t"))).alias("first_ml"))
-    rows = samples.where("is_capture_detect").join(first_ml, KEY)
+    rows = series(samples.where("is_capture_detect")).windowed(first_ml).result()
     ml_before = F.coalesce(c("first_ml") < c("t"), F.lit(False))
     fell = F.coalesce(c("fell_through"), (c("source") == "classical") & ml_before)
     return rows.groupBy(KEY).agg(

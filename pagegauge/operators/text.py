@@ -27,9 +27,6 @@ ALLOW_FILE, ALLOW_LINE = "text-scan: allow-file", "text-scan: allow-line"
 MEDIA = [
     "png", "jpg", "jpeg", "heic", "heif", "webp", "gif", "bmp", "tif", "tiff", "avif", "pdf", "mp4", "mov", "webm", "avi", "dcm", "svg",
 ]
-TEXT_KINDS = [
-    "ts", "tsx", "js", "jsx", "mjs", "cjs", "json", "md", "css", "html", "yml", "yaml", "rs", "toml", "sh", "txt", "env",
-]
 
 
 def extension(path: Column) -> Column:
@@ -65,19 +62,23 @@ def pii_hits(texts: DataFrame, key: str, text: str, personas: list[str] | None =
     return rows.where(~allowed & ~bare)
 
 
-def path_problems(files: DataFrame, forbidden_paths: list[str], media_homes: list[str], path: str = "path") -> DataFrame:
-    """Files under a forbidden pattern, and media outside the folders media may live in."""
-    forbidden = F.lit(False)
-    for p in forbidden_paths:
-        forbidden = forbidden | F.col(path).rlike(p)
-    home = F.lit(False)
-    for h in media_homes:
-        home = home | F.startswith(F.col(path), F.lit(h))
-    media = extension(F.col(path)).isin(MEDIA)
-    problems = F.array_compact(
-        F.array(F.when(forbidden, "forbidden path"), F.when(media & ~home, "media outside its folders"))
+def path_problems(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Files in a forbidden folder at any depth, and media outside the folders media may live in.
+
+    ``rules`` has a row per folder: ``folder, forbidden, media``. A file meets the rules of all its
+    folders; a media file is at home when its first folder says so.
+    """
+    parts = F.split(F.col(path), "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    placed = files.select(path, F.posexplode_outer(folders).alias("depth", "folder"))
+    met = placed.join(rules.select("folder", "forbidden", "media"), "folder", "left")
+    found = met.groupBy(path).agg(
+        F.coalesce(F.bool_or("forbidden"), F.lit(False)).alias("forbidden"),
+        F.coalesce(F.bool_or(F.col("media") & (F.col("depth") == 0)), F.lit(False)).alias("home"),
     )
-    return files.select(path, F.explode(problems).alias("problem"))
+    media = extension(F.col(path)).isin(MEDIA) & ~F.col("home")
+    problems = F.array_compact(F.array(F.when(F.col("forbidden"), "forbidden path"), F.when(media, "media outside its folders")))
+    return found.select(path, F.explode(problems).alias("problem"))
 
 
 def unproven_fixtures(files: DataFrame, provenance: DataFrame, home: str, path: str = "path") -> DataFrame:

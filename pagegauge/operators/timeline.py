@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.functions import geometry as g
 from pagegauge.operators.detection import rate
-from pagegauge.operators.ordered import Ordered, ordered
+from pagegauge.operators.ordered import SLICE, Ordered, ordered
 from pagegauge.operators.percentiles import WEIGHTED, Wanted, with_percentiles
 
 # The timeline rules.
@@ -37,11 +37,12 @@ def intervals(
     samples: DataFrame, windows: DataFrame, max_gap: int = MAX_SAMPLE_GAP_MS, width: int = SLICE_MS
 ) -> DataFrame:
     """One row per sample that holds for some of its session's window: ``begin``, ``end``."""
-    held = series(samples, width).step(lead={"next_t": F.col("t")}).result()
+    held = series(samples, width).step(lead={"next_t": F.col("t")})
     spans = windows.select(KEY, "from_t", "to_t")
     end = F.least(F.col("to_t"), F.coalesce(F.col("next_t"), F.col("to_t")), F.col("t") + max_gap)
     return (
-        held.join(spans, KEY)
+        held.windowed(spans, "from_t", "to_t", width, reach=max_gap)
+        .result()
         .withColumn("begin", F.greatest("from_t", "t"))
         .withColumn("end", end)
         .where(F.col("end") > F.col("begin"))
@@ -110,13 +111,12 @@ def false_lock_exposure(samples: DataFrame, windows: DataFrame) -> DataFrame:
     return table.select(KEY, "shown_ms", "observed_ms", "unobserved_ms", share.alias("share"))
 
 
-def runs(rows: DataFrame, on: Column, max_gap: int | None, width: int = SLICE_MS) -> Ordered:
+def runs(rows: Ordered, on: Column, max_gap: int | None) -> Ordered:
     """Islands of consecutive rows with ``on``: adds ``on`` and ``run_start`` (null off a run).
 
     A gap over ``max_gap`` ends a run: nobody saw it hold.
     """
-    marked = ordered(rows.withColumn("on", on), [KEY], ["t", "event_id"], width)
-    marked = marked.step(lag={"__was": F.col("on"), "__was_t": F.col("t")})
+    marked = rows.with_column("on", on).step(lag={"__was": F.col("on"), "__was_t": F.col("t")})
     fresh = F.col("__was").isNull() | ~F.col("__was")
     if max_gap is not None:
         fresh = fresh | (F.col("t") - F.col("__was_t") > max_gap)
@@ -125,8 +125,9 @@ def runs(rows: DataFrame, on: Column, max_gap: int | None, width: int = SLICE_MS
     return Ordered(out.df.drop("__was", "__was_t", "__start"), out.keys, out.order)
 
 
-def in_window(samples: DataFrame, windows: DataFrame, upto: bool = True) -> DataFrame:
-    rows = samples.join(windows.select(KEY, "from_t", "to_t"), KEY).where(F.col("t") >= F.col("from_t"))
+def in_window(samples: DataFrame, windows: DataFrame, upto: bool = True, width: int = SLICE_MS) -> Ordered:
+    spans = windows.select(KEY, "from_t", "to_t")
+    rows = series(samples, width).windowed(spans, "from_t", "to_t" if upto else None, width).where(F.col("t") >= F.col("from_t"))
     return rows.where(F.col("t") <= F.col("to_t")) if upto else rows
 
 
@@ -151,7 +152,7 @@ def false_locks_per_minute(samples: DataFrame, windows: DataFrame, hold: int = F
 def stale_after_swap(samples: DataFrame, windows: DataFrame, on_old: Column, max_gap: int) -> DataFrame:
     """How long after ``from_t`` the overlay kept sitting on the page that left, if that was seen."""
     seen = observed(intervals(samples, windows, max_gap), windows, {})
-    rows = series(in_window(samples, windows)).step(lead={"next_t": F.col("t")}).result()
+    rows = in_window(samples, windows).step(lead={"next_t": F.col("t")}).result()
     facts = rows.withColumn("on", on_old).groupBy(KEY).agg(
         F.max("t").alias("last_seen"),
         F.max(F.when(F.col("on"), F.col("t"))).alias("last_on"),
@@ -192,7 +193,9 @@ def paper_lock(samples: DataFrame, windows: DataFrame) -> DataFrame:
     )
     first = spans.where("on_page").groupBy(KEY).agg(F.min("begin").alias("first_lock"))
     after = (
-        ordered(spans.join(first, KEY).where(F.col("end") > F.col("first_lock")), [KEY], ["begin", "event_id"], SLICE_MS)
+        ordered(spans, [KEY], ["begin", "event_id"], SLICE_MS)
+        .windowed(first, "first_lock", None, SLICE_MS, reach=MAX_SAMPLE_GAP_MS)
+        .where(F.col("end") > F.col("first_lock"))
         .step(lag={"was": F.col("on_page")})
         .result()
     )
@@ -245,8 +248,8 @@ def static_jitter(readings: DataFrame, windows: DataFrame, width: float, height:
         p = g.corner(F.col("quad"), i)
         coordinates[f"x{i}"] = p["x"] * width
         coordinates[f"y{i}"] = p["y"] * height
-    flat = shown.select(KEY, "t", "event_id", *[c.alias(n) for n, c in coordinates.items()])
-    rows = series(flat).step(lag={f"was_{n}": F.col(n) for n in coordinates}).result()
+    flat = shown.df.select(*shown.keys, SLICE, "t", "event_id", *[c.alias(n) for n, c in coordinates.items()])
+    rows = Ordered(flat, shown.keys, shown.order).step(lag={f"was_{n}": F.col(n) for n in coordinates}).result()
     moved = None
     for i in range(4):
         dx, dy = F.col(f"x{i}") - F.col(f"was_x{i}"), F.col(f"y{i}") - F.col(f"was_y{i}")

@@ -326,14 +326,15 @@ def _sql_box(j: int) -> str:
         f"struct_pack(x := {cx} {sx} CAST({HALF_BOX} AS DOUBLE), y := {cy} {sy} CAST({HALF_BOX} AS DOUBLE))"
         for sx, sy in (("-", "-"), ("+", "-"), ("+", "+"), ("-", "+"))
     )
-    return f"SELECT scene_id, {j} AS box, '{BOX_KINDS[j]}' AS kind, [{corners}] AS polygon FROM fx_vectors WHERE scene_id % 7 <> 0"
+    scene = "CASE WHEN scene_id % 7 = 0 THEN -1 - scene_id ELSE scene_id END AS scene_id"
+    return f"SELECT {scene}, {j} AS box, '{BOX_KINDS[j]}' AS kind, [{corners}] AS polygon FROM fx_vectors"
 
 
 view("fx_content", " UNION ALL ".join(_sql_box(j) for j in range(4)))
 
 
 def content(t: Tables) -> DataFrame:
-    """One row per content box; scenes divisible by seven have no content truth."""
+    """One row per content box; those of scenes divisible by seven are known under another name."""
     boxes = []
     for j, kind in enumerate(BOX_KINDS):
         cx = F.lit(round(0.14 + 0.24 * j, 2)) + 0.2 * e(41 + 2 * j)
@@ -348,8 +349,8 @@ def content(t: Tables) -> DataFrame:
                 ).alias("polygon"),
             )
         )
-    rows = vectors(t).where(F.col("scene_id") % 7 != 0)
-    return rows.select("scene_id", F.explode(F.array(*boxes)).alias("b")).select("scene_id", "b.*")
+    scene = F.expr("CASE WHEN scene_id % 7 = 0 THEN -1 - scene_id ELSE scene_id END")
+    return vectors(t).select(scene.alias("scene_id"), F.explode(F.array(*boxes)).alias("b")).select("scene_id", "b.*")
 
 
 # ── pixels: a vector as an 8×8 tile ─────────────────────────────────────────

@@ -23,9 +23,9 @@ def moments(t: Tables) -> DataFrame:
 
 def asof_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = moments(t)
-    presented = rows.where("event_type = 'view' AND session_id % 10 <> 0").select(
-        "session_id", F.col("event_id").alias("k"), "t"
-    )
+    # Sessions divisible by ten presented under another name: their own log names no frame.
+    logged = F.expr("CASE WHEN session_id % 10 = 0 THEN -1 - session_id ELSE session_id END")
+    presented = rows.where("event_type = 'view'").select(logged.alias("session_id"), F.col("event_id").alias("k"), "t")
     pushed = rows.where("event_type = 'click'").select("session_id", F.col("event_id").alias("k"), "t")
     return rows, presented, pushed
 
@@ -33,14 +33,15 @@ def asof_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 view(
     "fx_on_screen",
     """
-    SELECT a.session_id, a.event_id, a.t, CASE WHEN a.session_id % 10 <> 0 AND l.session_id IS NOT NULL THEN p.event_id
-           ELSE q.event_id END AS frame_k
+    WITH shown AS (SELECT CASE WHEN session_id % 10 = 0 THEN -1 - session_id ELSE session_id END AS session_id, event_id, t
+                   FROM fx_samples WHERE event_type = 'view')
+    SELECT a.session_id, a.event_id, a.t, CASE WHEN l.session_id IS NOT NULL THEN p.event_id ELSE q.event_id END AS frame_k
     FROM fx_samples a
-    ASOF LEFT JOIN (SELECT * FROM fx_samples WHERE event_type = 'view' AND session_id % 10 <> 0) p
+    ASOF LEFT JOIN shown p
       ON a.session_id = p.session_id AND a.t >= p.t
     ASOF LEFT JOIN (SELECT *, t + 33 AS due FROM fx_samples WHERE event_type = 'click') q
       ON a.session_id = q.session_id AND a.t >= q.due
-    LEFT JOIN (SELECT DISTINCT session_id FROM fx_samples WHERE event_type = 'view') l ON l.session_id = a.session_id
+    LEFT JOIN (SELECT DISTINCT session_id FROM shown) l ON l.session_id = a.session_id
     """,
 )
 

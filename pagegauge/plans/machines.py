@@ -385,12 +385,12 @@ def fire_timeline(t: Tables) -> DataFrame:
     "stall_detector",
     """
     SELECT session_id, event_id AS after_event, t AS stall_from, next_t AS stall_to, next_t - t AS stall_ms FROM (
-      SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY t, event_id) AS next_t FROM fx_samples WHERE k % 4 <> 0)
+      SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY t, event_id) AS next_t FROM fx_samples WHERE event_type = 'view')
     WHERE next_t - t > 800
     """,
 )
 def stall_detector(t: Tables) -> DataFrame:
-    passes = b.clocked(t).where("k % 4 <> 0").select("session_id", "event_id", "t")
+    passes = b.clocked(t).where("event_type = 'view'").select("session_id", "event_id", "t")
     rows = tl.series(passes).step(lead={"next_t": F.col("t")}).result()
     gap = F.col("next_t") - F.col("t")
     return rows.where(gap > 800).select(

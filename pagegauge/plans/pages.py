@@ -311,7 +311,7 @@ ACTIONS = ["add", "add", "add", "rotate", "move", "retake", "remove", "add"]
 
 _FIND = "len(list_filter(f.pages, lambda p: p.id = r.page)) > 0"
 _NEXT = f"""CASE r.action
-      WHEN 'add' THEN CASE WHEN {_FIND} OR len(f.pages) >= 20 THEN f.pages ELSE list_append(f.pages, struct_pack(id := r.page, rev := 1::BIGINT, rot := 0::BIGINT)) END
+      WHEN 'add' THEN CASE WHEN {_FIND} THEN f.pages ELSE list_append(f.pages, struct_pack(id := r.page, rev := 1::BIGINT, rot := 0::BIGINT)) END
       WHEN 'remove' THEN list_filter(f.pages, lambda p: p.id <> r.page)
       WHEN 'move' THEN list_concat(list_filter(f.pages, lambda p: p.id = r.page), list_filter(f.pages, lambda p: p.id <> r.page))
       WHEN 'rotate' THEN list_transform(f.pages, lambda p: CASE WHEN p.id = r.page THEN struct_pack(id := p.id, rev := p.rev + 1, rot := (p.rot + 90) % 360) ELSE p END)
@@ -457,7 +457,7 @@ def confirm_outcomes(t: Tables) -> DataFrame:
 def funnel(t: Tables) -> DataFrame:
     kind = F.col("kind")
     steps = {"capture": kind == "capture", "corners": kind == "confirm-open", "review": kind == "confirm-done"}
-    return rounded(pg.funnel(b.log(t), "session_id", "t", steps))
+    return rounded(pg.funnel(b.log(t), "session_id", "t", steps, b.SLICE_MS))
 
 
 @query("cancel_reasons", "SELECT reason, count(*) AS n FROM fx_flow WHERE name = 'cancel' AND reason <> 'system' GROUP BY reason")

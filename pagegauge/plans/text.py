@@ -63,30 +63,40 @@ def scan_text_corpus(t: Tables) -> DataFrame:
     )
 
 
-_KINDS = "['png', 'ts', 'pdf', 'md', 'mp4']"
-_FOLDERS = "['fixtures', 'src/data', 'assets', 'docs', 'camera/photos', 'clean']"
+_KINDS = ["png", "ts", "pdf", "md", "mp4"]
 view(
     "fx_files",
     f"""
-    SELECT doc_id, {_FOLDERS}[doc_id % 6 + 1] || '/' || source || '-' || doc_id || '.' || {_KINDS}[doc_id % 5 + 1] AS path FROM documents
+    SELECT doc_id, source, lang || '/' || source || '/' || doc_id || '.' || {_KINDS}[doc_id % 5 + 1] AS path FROM documents
+    """,
+)
+# Folders by what the labels say of their documents: languages hold media, toxic sources are closed.
+view(
+    "fx_folder_rules",
+    """
+    SELECT source AS folder, coalesce(sum(toxic), 0) * 4 > count(toxic) AS forbidden, false AS media
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
+    UNION ALL SELECT lang, false, coalesce(avg(quality), 0) >= 0.5 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
     """,
 )
 
 
 def files(t: Tables) -> DataFrame:
-    kinds = F.array(*[F.lit(k) for k in ("png", "ts", "pdf", "md", "mp4")])
-    folders = F.array(*[F.lit(k) for k in ("fixtures", "src/data", "assets", "docs", "camera/photos", "clean")])
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
     doc = F.col("doc_id")
-    path = F.concat(
-        F.get(folders, (doc % 6).cast("int")),
-        F.lit("/"),
-        "source",
-        F.lit("-"),
-        doc.cast("string"),
-        F.lit("."),
-        F.get(kinds, (doc % 5).cast("int")),
+    kind = F.get(kinds, (doc % 5).cast("int"))
+    return t.documents.select("doc_id", "lang", F.concat("lang", F.lit("/"), "source", F.lit("/"), doc.cast("string"), F.lit("."), kind).alias("path"))
+
+
+def folder_rules(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "lang", "source").join(t.labels, "doc_id", "left")
+    sources = rows.groupBy(F.col("source").alias("folder")).agg(
+        (F.coalesce(F.sum("toxic"), F.lit(0)) * 4 > F.count("toxic")).alias("forbidden"), F.lit(False).alias("media")
+    )
+    langs = rows.groupBy(F.col("lang").alias("folder")).agg(
+        F.lit(False).alias("forbidden"), (F.coalesce(F.avg("quality"), F.lit(0.0)) >= 0.5).alias("media")
     )
-    return t.documents.select("doc_id", path.alias("path"))
+    return sources.unionByName(langs)
 
 
 _MEDIA = "('png', 'pdf', 'mp4')"
@@ -95,28 +105,26 @@ _MEDIA = "('png', 'pdf', 'mp4')"
 @query(
     "forbidden_path_scan",
     f"""
-    SELECT path, 'forbidden path' AS problem FROM fx_files WHERE regexp_matches(path, '(^|/)data/')
-      OR regexp_matches(path, '(^|/)camera/(photos|videos)/') OR regexp_matches(path, '(^|/)clean(/|$)')
-    UNION ALL SELECT path, 'media outside its folders' FROM fx_files
-      WHERE string_split(path, '.')[-1] IN {_MEDIA} AND NOT (path LIKE 'fixtures/%' OR path LIKE 'assets/%')
+    SELECT path, 'forbidden path' AS problem FROM fx_files JOIN fx_folder_rules r ON r.folder = source WHERE r.forbidden
+    UNION ALL SELECT path, 'media outside its folders' FROM fx_files JOIN fx_folder_rules r ON r.folder = string_split(path, '/')[1]
+      WHERE string_split(path, '.')[-1] IN {_MEDIA} AND NOT r.media
     """,
 )
 def forbidden_path_scan(t: Tables) -> DataFrame:
-    forbidden = [r"(^|/)data/", r"(^|/)camera/(photos|videos)/", r"(^|/)clean(/|$)"]
-    return tx.path_problems(files(t), forbidden, ["fixtures/", "assets/"])
+    return tx.path_problems(files(t), folder_rules(t))
 
 
 @query(
     "fixture_provenance_anti",
     f"""
-    SELECT path FROM fx_files WHERE path LIKE 'fixtures/%' AND string_split(path, '.')[-1] IN {_MEDIA}
+    SELECT path FROM fx_files WHERE path LIKE 'en/%' AND string_split(path, '.')[-1] IN {_MEDIA}
       AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = fx_files.doc_id AND l.quality = 1)
     """,
 )
 def fixture_provenance_anti(t: Tables) -> DataFrame:
     named = files(t).join(t.labels.where("quality = 1"), "doc_id", "left_semi")
     names = named.select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return tx.unproven_fixtures(files(t), names, "fixtures/").select("path")
+    return tx.unproven_fixtures(files(t), names, "en/").select("path")
 
 
 @query(
