@@ -26,6 +26,8 @@ class Ordered:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    #: Keys and slices of the rows as they came, from which the slices in use are found.
+    places: DataFrame | None = None
 
     def _window(self, descending: bool = False):
         columns = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
@@ -165,7 +167,7 @@ class Ordered:
         long a row may last. Spans without ends are one row of facts per key; ``how="left"`` keeps rows
         without any. Exact conditions on the rows are the caller's.
         """
-        occupied = self.df.select(*self.keys, SLICE).distinct()
+        occupied = (self.df if self.places is None else self.places).select(*self.keys, SLICE).distinct()
         touched = occupied.join(spans, list(self.keys))
         if start is not None:
             touched = touched.where(F.col(SLICE) >= F.floor((F.col(start) - reach) / F.lit(width)))
@@ -180,8 +182,8 @@ class Ordered:
 def ordered(df: DataFrame, keys: list[str], order: list[str], width: int, axis: str | None = None) -> Ordered:
     """Slice ``df`` every ``width`` units of its first order column (or of ``axis``)."""
     cut_by = F.floor(F.col(axis or order[0]) / F.lit(width)).cast("bigint")
-    sliced = df.withColumn(SLICE, cut_by).repartition(*keys, SLICE)
-    return Ordered(sliced, tuple(keys), tuple(order))
+    sliced = df.withColumn(SLICE, cut_by)
+    return Ordered(sliced.repartition(*keys, SLICE), tuple(keys), tuple(order), sliced.select(*keys, SLICE))
 
 
 def asof(
