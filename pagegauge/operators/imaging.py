@@ -6,7 +6,6 @@ Neighbour sums run over rows and then over columns, so a task holds at most one
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,95 +128,6 @@ def text_line_height(pixels: DataFrame) -> DataFrame:
     return every.join(middle, IMAGE, "left").fillna({"height": 0.0})
 
 
-def box_mean(pixels: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    """Mean over the square of ``radius`` around each pixel, cut at the image's edge."""
-    near_x, near_y = along(pixels, "x").rowsBetween(-radius, radius), along(pixels, "y").rowsBetween(-radius, radius)
-    rows = pixels.withColumn("__s", F.sum(value).over(near_x)).withColumn("__n", F.count(value).over(near_x))
-    mean = F.sum("__s").over(near_y) / F.sum("__n").over(near_y)
-    return rows.withColumn(out, mean).drop("__s", "__n")
-
-
-def ink_mask(pixels: DataFrame, local: int, wide: int, reach: int) -> DataFrame:
-    """Each pixel with ``dark`` and ``ink``: darker than its surround, on paper, and off the dark background."""
-    paper = percentiles(pixels, [IMAGE], {"v": (F.col("luma"), 1.0)}, [Wanted("paper", "v", 0.9, FLOOR_INDEX)])
-    rows = pixels.withColumn("luma", F.col("luma").cast("double")).join(paper, IMAGE)
-    rows = rows.withColumn("dark", F.when(F.col("luma") < 0.5 * F.col("paper"), 1).otherwise(0))
-    rows = box_mean(rows, "luma", local, "local_mean")
-    rows = box_mean(rows, "luma", wide, "wide_mean")
-    rows = box_mean(rows, "dark", reach, "dark_share")
-    rows = rows.withColumn("core", F.when(F.col("dark_share") > 0.6, 1).otherwise(0))
-    rows = box_mean(rows, "core", reach, "near_core")
-    ink = (
-        (F.col("luma") < 0.72 * F.col("local_mean"))
-        & (F.col("wide_mean") > 0.62 * F.col("paper"))
-        & (F.col("local_mean") > 0.5 * F.col("paper"))
-        & (F.col("near_core") == 0)
-    )
-    return rows.select(IMAGE, "y", "x", "luma", "dark", (F.col("near_core") == 0).alias("on_page"), ink.alias("ink"))
-
-
-def ink_measures(mask: DataFrame, band: int) -> DataFrame:
-    """Ink count, box and border bands, dark share of the border, page area."""
-    rows = mask.join(sizes(mask), IMAGE)
-    x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
-    border = (x < band) | (x >= w - band) | (y < band) | (y >= h - band)
-    ink = F.col("ink")
-    table = rows.groupBy(IMAGE, "w", "h").agg(
-        F.count_if(ink).alias("ink"),
-        F.min(F.when(ink, x)).alias("bx0"),
-        F.min(F.when(ink, y)).alias("by0"),
-        F.max(F.when(ink, x)).alias("bx1"),
-        F.max(F.when(ink, y)).alias("by1"),
-        F.count_if("on_page").alias("page_area"),
-        (F.count_if(border & (F.col("dark") == 1)) / F.count_if(border)).alias("border_dark"),
-        F.count_if(ink & (y < band)).alias("band_top"),
-        F.count_if(ink & (x >= w - band)).alias("band_right"),
-        F.count_if(ink & (y >= h - band)).alias("band_bottom"),
-        F.count_if(ink & (x < band)).alias("band_left"),
-    )
-    return table
-
-
-def _profile(points: DataFrame, angles: Column) -> DataFrame:
-    """Energy of the projection of ink points at each angle (degrees)."""
-    rows = points.select(IMAGE, "px", "py", F.explode(angles).alias("deg"))
-    turn = F.col("deg") * (math.pi / 180)
-    r = F.col("py") * F.cos(turn) - F.col("px") * F.sin(turn)
-    low = F.floor(r)
-    part = r - low
-    spread = F.array(F.struct(low.alias("bin"), (1 - part).alias("m")), F.struct((low + 1).alias("bin"), part.alias("m")))
-    bins = rows.select(IMAGE, "deg", F.inline(spread)).groupBy(IMAGE, "deg", "bin").agg(F.sum("m").alias("m"))
-    return bins.groupBy(IMAGE, "deg").agg(F.round(F.sum(F.col("m") * F.col("m")), 6).alias("energy"))
-
-
-def tilt(mask: DataFrame, least_points: int, span: float = 20.0) -> DataFrame:
-    """Angle whose row projection is sharpest: quarter degrees first, then fiftieths around the best.
-
-    Null for an image with fewer ink points than ``least_points``.
-    """
-    extent = sizes(mask)
-    ink = mask.where("ink").join(extent, IMAGE)
-    points = ink.select(IMAGE, (F.col("x") - F.col("w") / 2).alias("px"), (F.col("y") - F.col("h") / 2).alias("py"))
-    enough = points.groupBy(IMAGE).agg(F.count("*").alias("points")).where(F.col("points") >= least_points)
-    points = points.join(enough, IMAGE)
-    n = int(span / 0.25)
-    coarse = _profile(points, F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda i: i * 0.25))
-    best = coarse.groupBy(IMAGE).agg(F.max(F.struct("energy", (-F.col("deg")).alias("less"))).alias("b"))
-    best = best.select(IMAGE, F.col("b.energy").alias("coarse_energy"), (-F.col("b.less")).alias("coarse_deg"))
-    around = F.transform(F.sequence(F.lit(-15), F.lit(15)), lambda i: F.col("coarse_deg") + i * 0.02)
-    fine = _fine(points, best, around)
-    refined = fine.groupBy(IMAGE).agg(F.max(F.struct("energy", (-F.col("deg")).alias("less"))).alias("b"))
-    both = best.join(refined, IMAGE)
-    finer = F.col("b.energy") > F.col("coarse_energy")
-    deg = F.when(finer, -F.col("b.less")).otherwise(F.col("coarse_deg"))
-    return extent.select(IMAGE).join(both.select(IMAGE, F.round(deg, 2).alias("tilt_deg")), IMAGE, "left")
-
-
-def _fine(points: DataFrame, best: DataFrame, around: Column) -> DataFrame:
-    near = best.select(IMAGE, around.alias("angles"))
-    return _profile(points.join(near, IMAGE), F.col("angles"))
-
-
 def texture_blocks(pixels: DataFrame, block: int) -> DataFrame:
     """Mean and grain (second differences) of each whole block."""
     across, down = along(pixels, "x"), along(pixels, "y")
@@ -419,38 +329,6 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFr
             return labels
 
 
-ROW = 1 << 20
-
-
-def components(binary: DataFrame) -> DataFrame:
-    """8-connected components of the given pixels: area, box, centroid. Labels carry no meaning."""
-    across = Window.partitionBy(IMAGE, "y").orderBy("x")
-    starts = binary.withColumn(
-        "start", F.when(F.coalesce(F.lag("x").over(across) != F.col("x") - 1, F.lit(True)), F.col("x"))
-    )
-    filled = starts.withColumn("start", F.last("start", True).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    pixels = filled.select(IMAGE, "y", "x", (F.col("y") * ROW + F.col("start")).cast("bigint").alias("node"))
-    nodes = pixels.select(IMAGE, "node").distinct()
-    below = pixels.select(
-        IMAGE, F.col("node").alias("a"), (F.col("y") + 1).alias("y"), F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x")
-    )
-    edges = below.join(pixels.withColumnRenamed("node", "b"), [IMAGE, "y", "x"]).select(IMAGE, "a", "b").distinct()
-    labels = smallest_reachable(nodes, edges, IMAGE)
-    return (
-        pixels.join(labels, [IMAGE, "node"])
-        .groupBy(IMAGE, "label")
-        .agg(
-            F.count("*").alias("area"),
-            F.min("x").alias("x0"),
-            F.min("y").alias("y0"),
-            (F.max("x") - F.min("x") + 1).alias("width"),
-            (F.max("y") - F.min("y") + 1).alias("height"),
-            F.avg("x").alias("cx"),
-            F.avg("y").alias("cy"),
-        )
-    )
-
-
 def letter_like(parts: DataFrame, height: Column, width: Column) -> DataFrame:
     # What may be a letter.
     aspect = F.col("width") / F.col("height")

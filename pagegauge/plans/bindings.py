@@ -365,6 +365,13 @@ view(
 )
 
 
+def rasters(t: Tables) -> DataFrame:
+    """The same tiles as arrays: an image per row, its values row by row."""
+    level = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * v.cast("double") + 0.5))).cast("int"))
+    rows = spread(t.embeddings).where(F.size("embedding") > 0)
+    return rows.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.expr("size(embedding) div 8").cast("int").alias("h"), level.alias("luma"))
+
+
 def luma(t: Tables) -> DataFrame:
     level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.col("v").cast("double") + 0.5)))
     return spread(t.embeddings).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v")).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.operators import imaging as im
+from pagegauge.operators import rasters as rs
 from pagegauge.operators.percentiles import LINEAR, Wanted, percentiles
 from pagegauge.plans import bindings as b
 from pagegauge.plans.detection import rounded
@@ -145,8 +146,7 @@ view(
 )
 
 
-def mask(t: Tables) -> DataFrame:
-    return im.ink_mask(b.luma(t), local=1, wide=2, reach=1)
+SURROUND = {"local": 1, "wide": 2, "reach": 1}
 
 
 @query(
@@ -160,7 +160,7 @@ def mask(t: Tables) -> DataFrame:
     """,
 )
 def ink_mask_measures(t: Tables) -> DataFrame:
-    return rounded(im.ink_measures(mask(t), band=1))
+    return rounded(rs.ink_measures(b.rasters(t), **SURROUND, band=1))
 
 
 def _sql_energy(angles: str) -> str:
@@ -180,7 +180,7 @@ view(
 )
 view(
     "fx_tilt",
-    f"SELECT image_id, max(energy) AS ce, arg_max(deg, (energy, -deg)) AS cd FROM ({_sql_energy('unnest(list_transform(range(-80, 81), lambda i: i * 0.25::DOUBLE))')}) GROUP BY image_id",
+    f"SELECT image_id, max(energy) AS ce, arg_max(deg, (energy, -deg)) AS cd, list_sort(list(energy))[81] AS mid FROM ({_sql_energy('unnest(list_transform(range(-80, 81), lambda i: i * 0.25::DOUBLE))')}) GROUP BY image_id",
 )
 _FINE = _sql_energy(
     "unnest((SELECT list_transform(range(-15, 16), lambda i: t.cd + i * 0.02::DOUBLE) FROM fx_tilt t WHERE t.image_id = p.image_id))"
@@ -190,13 +190,13 @@ _FINE = _sql_energy(
 @query(
     "tilt_estimate",
     f"""
-    SELECT i.image_id, round(CASE WHEN f.fe > t.ce THEN f.fd ELSE t.cd END, 2) AS tilt_deg
+    SELECT i.image_id, round(CASE WHEN f.fe > t.ce THEN f.fd ELSE t.cd END, 2) AS tilt_deg, round(greatest(f.fe, t.ce) / t.mid, 6) AS confidence
     FROM (SELECT DISTINCT image_id FROM fx_ink) i LEFT JOIN fx_tilt t USING (image_id)
     LEFT JOIN (SELECT image_id, max(energy) AS fe, arg_max(deg, (energy, -deg)) AS fd FROM ({_FINE}) GROUP BY image_id) f ON f.image_id = t.image_id
     """,
 )
 def tilt_estimate(t: Tables) -> DataFrame:
-    return im.tilt(mask(t), least_points=6)
+    return rounded(rs.tilt(b.rasters(t), **SURROUND, least_points=6))
 
 
 _R2 = "abs({a}.v - 2 * c.v + {b}.v)"
@@ -333,7 +333,7 @@ _COLUMNS = "image_id, area, x0, y0, width, height, round(cx, 6) AS cx, round(cy,
 
 
 def parts(t: Tables) -> DataFrame:
-    return im.components(b.luma(t).where("luma < 100"))
+    return rs.components(rs.whole(b.rasters(t)), below=100)
 
 
 @query("connected_components", _COMPONENTS.format(columns=_COLUMNS, where=""))
