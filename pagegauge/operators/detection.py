@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagegauge.functions import geometry as g
 from pagegauge.functions.staging import once
 from pagegauge.operators.percentiles import Wanted, with_percentiles
+from pagegauge.session import written_once
 
 CONTENT_KINDS = ["text", "identifier", "mark"]
 
@@ -212,6 +213,7 @@ def summarize_detections(scored: DataFrame, groups: Column) -> DataFrame:
     the narrow values behind the percentiles are repeated per group.
     """
     conditions = summed()
+    scored = written_once(scored)
     counts = scored.groupBy("family", "setting", "variant").agg(
         *[F.count_if(c).alias(n) for n, c in conditions.items()],
         F.sum("mean_error").alias("mean_error_sum"),

@@ -10,6 +10,7 @@ from pagegauge.operators.detection import rate, with_quad_distance
 from pagegauge.operators.ordered import Ordered, asof, ordered, trailing
 from pagegauge.operators.percentiles import Wanted, with_percentiles
 from pagegauge.operators.timeline import KEY, SLICE_MS, series
+from pagegauge.session import written_once
 
 # Motion and agreement limits of the live guidance.
 JUMP_THRESHOLD = 0.05
@@ -57,6 +58,7 @@ def motion_steps(readings: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def motion_summary(steps: DataFrame) -> DataFrame:
+    steps = written_once(steps.select(KEY, "step"))
     jumps = F.count_if(F.col("step") > JUMP_THRESHOLD)
     table = steps.groupBy(KEY).agg(
         F.count("step").alias("pairs"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.operators.detection import rate
 from pagegauge.operators.percentiles import LINEAR, Wanted, finite, with_percentiles
+from pagegauge.session import written_once
 
 # Tolerances of the straighten verdict.
 TILT_WORSE_DEG = 0.3
@@ -102,6 +103,7 @@ def groups() -> Column:
 def summarize(judged: DataFrame, errors: DataFrame) -> DataFrame:
     """Counts, rates and percentiles per group; pages that needed work and pages that did not are apart."""
     c = F.col
+    judged = written_once(judged)
     cls = c("cls")
     needed = c("should_act")
     tilt_only = needed & (F.abs(c("truth_tilt")) >= SHOULD_ACT_DEG) & ~curled()

@@ -16,6 +16,7 @@ from pagegauge.plans import captures as cp
 from pagegauge.plans import sequences as seq
 from pagegauge.plans.detection import rounded, sql_pct, sql_rate
 from pagegauge.plans.registry import Tables, query, view
+from pagegauge.session import written_once
 
 
 # ── percentile conventions ───────────────────────────────────────────────────
@@ -295,7 +296,7 @@ _POOL = {"shown_ms": "shown", "locked_ms": "shown AND frame_known AND has_page A
 )
 def session_summary(t: Tables) -> DataFrame:
     """Runs of a script pooled: shares of pooled time, never means of shares; a run that never locked is last."""
-    rows = b.samples(t)
+    rows = written_once(b.samples(t))
     spans = b.windows(rows)
     times = tl.observed(tl.intervals(rows, spans), spans, {n: F.expr(v) for n, v in _POOL.items()})
     taps = cp.stitched(t).groupBy("session_id").agg(

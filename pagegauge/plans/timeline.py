@@ -9,6 +9,7 @@ from pagegauge.operators import timeline as tl
 from pagegauge.plans import bindings as b
 from pagegauge.plans.detection import rounded, sql_rate
 from pagegauge.plans.registry import Tables, query, view
+from pagegauge.session import written_once
 
 view(
     "fx_intervals",
@@ -21,7 +22,7 @@ view(
 
 
 def series(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = b.samples(t)
+    rows = written_once(b.samples(t))
     return rows, b.windows(rows)
 
 

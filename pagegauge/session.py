@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -41,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The plain columns of a table that counts and percentiles both read, so that it is computed once."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return cut(df.select(*plain))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so lost executors cost one read."""
     ensure_checkpoint_dir(df.sparkSession)
