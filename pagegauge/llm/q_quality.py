@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegauge.llm import quality
-from pagegauge.llm.base import Stage
+from pagegauge.llm.base import Stage, fingerprint
 from pagegauge.llm.queries import query, table
 
 GROUPS = ["lang", "source"]
@@ -23,7 +23,7 @@ WITH d AS (
 ), repeated AS (
   SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 3)) AS q FROM starts) GROUP BY r
 ), m AS (
-  SELECT w.r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT w.r, doc_id, lang, source, t, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) AS BIGINT) AS n_lines,
@@ -31,15 +31,16 @@ WITH d AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN repeated ON repeated.r = w.r
 ), v AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          n_symbols * 10000 // greatest(n_words, 1) AS symbol_rate,
          word_chars * 1000 // greatest(n_words, 1) AS mean_length,
          n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate,
          n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate
   FROM m
+), single AS (
+  SELECT DISTINCT lang, source, t, symbol_rate, mean_length, dup_line_rate, repeat_rate FROM v WHERE NOT base_failed
 ), long AS (
-  SELECT lang, source, measure, value FROM v UNPIVOT (value FOR measure IN (symbol_rate, mean_length, dup_line_rate, repeat_rate))
-  WHERE NOT base_failed
+  SELECT lang, source, measure, value FROM single UNPIVOT (value FOR measure IN (symbol_rate, mean_length, dup_line_rate, repeat_rate))
 ), bins AS (
   SELECT lang, source, measure, (value >> s) << s AS bin
   FROM (SELECT *, CAST(greatest(length(bin(value)) - 6, 0) AS BIGINT) AS s FROM long)
@@ -53,26 +54,29 @@ WITH d AS (
   SELECT *, sum(n) OVER (PARTITION BY level, g0, g1, measure ORDER BY bin) AS upto,
          sum(n) OVER (PARTITION BY level, g0, g1, measure) AS total
   FROM counted
-), quart AS (
-  SELECT level, g0, g1, measure, max(total) AS total,
-         min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
+), eighth AS (
+  SELECT level, g0, g1, measure, max(total) AS total, min(bin) FILTER (8 * upto >= total) AS low,
+         min(bin) FILTER (8 * upto >= 4 * total) AS mid, min(bin) FILTER (8 * upto >= 7 * total) AS high
   FROM ranked GROUP BY ALL
-), fence AS (
-  SELECT level, g0, g1, measure, total,
-         CASE WHEN measure = 'mean_length' THEN q1 - 3 * greatest(q3 - q1, 600) END AS low,
-         q3 + 3 * greatest(q3 - q1, CASE measure WHEN 'symbol_rate' THEN 3000 WHEN 'mean_length' THEN 600
-                                                 WHEN 'dup_line_rate' THEN 2000 ELSE 1500 END) AS high
-  FROM quart
-), verdict AS (
-  SELECT v.r, bool_and(x.value <= f.high AND (f.low IS NULL OR x.value >= f.low)) AS inside
+), chosen AS (
+  -- The finest sketch with enough documents whose spread is not 0, else the finest with enough.
+  SELECT a.g0, a.g1, a.measure, f.low, f.mid, f.high,
+         row_number() OVER (PARTITION BY a.g0, a.g1, a.measure ORDER BY f.high > f.mid DESC, f.level DESC) AS place
+  FROM eighth a
+  JOIN eighth f ON f.measure = a.measure AND (f.level = 0 OR f.g0 IS NOT DISTINCT FROM a.g0) AND (f.level < 2 OR f.g1 IS NOT DISTINCT FROM a.g1)
+  WHERE a.level = 2 AND (f.total >= 100 OR f.level = 0)
+), measured AS (
+  SELECT v.*, measure, value, low, mid, high, greatest(200, CASE measure
+           WHEN 'symbol_rate' THEN ceil(10000 / greatest(n_words, 1)) WHEN 'mean_length' THEN trunc(mid / (2 * sqrt(greatest(n_words, 1))))
+           WHEN 'dup_line_rate' THEN ceil(10000 / greatest(n_lines, 1)) ELSE greatest(ceil(60000 / greatest(n_words, 1)), dup_line_rate) END) AS event
   FROM v
   JOIN (SELECT r, measure, value FROM v UNPIVOT (value FOR measure IN (symbol_rate, mean_length, dup_line_rate, repeat_rate))) x ON x.r = v.r
-  JOIN fence a ON a.level = 2 AND a.g0 IS NOT DISTINCT FROM v.lang AND a.g1 IS NOT DISTINCT FROM v.source AND a.measure = x.measure
-  JOIN fence b ON b.level = 1 AND b.g0 IS NOT DISTINCT FROM v.lang AND b.measure = x.measure
-  JOIN fence c ON c.level = 0 AND c.measure = x.measure
-  JOIN fence f ON f.measure = x.measure AND f.level = CASE WHEN a.total >= 100 THEN 2 WHEN b.total >= 100 THEN 1 ELSE 0 END
-              AND (f.level < 2 OR f.g1 IS NOT DISTINCT FROM v.source) AND (f.level < 1 OR f.g0 IS NOT DISTINCT FROM v.lang)
-  GROUP BY v.r
+  JOIN chosen USING (measure)
+  WHERE place = 1 AND g0 IS NOT DISTINCT FROM lang AND g1 IS NOT DISTINCT FROM source
+), verdict AS (
+  SELECT r, bool_and(value <= high + 3 * greatest(high - mid, event)
+                     AND (measure <> 'mean_length' OR value >= low - 3 * greatest(mid - low, event))) AS inside
+  FROM measured GROUP BY r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(inside, false) AS kept
@@ -84,9 +88,8 @@ FROM v LEFT JOIN verdict ON verdict.r = v.r
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document under the fences of its language and source."""
     docs = table(spark, folder, "documents").select("doc_id", "text", *GROUPS)
-    stage = Stage(spark)
-    rows = stage.keep(quality.measured(docs).drop("text"), "measures")
-    bounds = quality.fences(quality.sketches(rows, GROUPS), len(GROUPS))
-    return quality.judged(rows, bounds, GROUPS).select(
+    docs = docs.withColumn("text_key", fingerprint(docs["text"]))
+    rows = Stage(spark).keep(quality.measured(docs).drop("text"), "measures")
+    return quality.verdicts(rows, GROUPS, "text_key").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

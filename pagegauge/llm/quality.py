@@ -6,9 +6,8 @@ and a bin is within 1/32 of any value in it. The number of bins of a group is bo
 a long, whatever the rows. Groups with few documents use the sketch of their language, or of all.
 The fences of a group are joined back to its documents.
 
-Two rules make fences of a sketch. ``fences`` is the one that the SQL of op10 states: quartiles, and a fixed
-least spread per measure. ``upper_fences`` is the pipeline's: the spread is that of the upper eighths
-of the sketch, over texts counted once, and the least spread is one event in the document itself.
+The spread of a fence is that of the eighths of the sketch, over texts counted once, and at least
+one event in the document itself.
 
 Built-in DataFrame functions only.
 
@@ -28,13 +27,8 @@ from pagegauge.llm.base import SPACE
 
 SYMBOLS = r"[#*$%&|<>]"
 LEADING_BITS = 6
-#: Measure, the smallest spread its fences allow for, and whether small values are fenced off too.
-MEASURES = {
-    "symbol_rate": (3_000, False),
-    "mean_length": (600, True),
-    "dup_line_rate": (2_000, False),
-    "repeat_rate": (1_500, False),
-}
+#: Measure, and whether small values are fenced off too.
+MEASURES = {"symbol_rate": False, "mean_length": True, "dup_line_rate": False, "repeat_rate": False}
 #: What one event makes of a measure in a document: a symbol, a repeated line, two equal windows or the
 #: words of its repeated lines; of a mean length, what it errs by over so many words.
 EVENTS = {
@@ -174,53 +168,6 @@ def _ranked(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, groups: int, min_docs: int = 100, width: int = 3) -> DataFrame:
-    """One row per group with the bounds of every measure, from the finest sketch with enough documents."""
-    keys = [f"g{i}" for i in range(groups)]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(groups))).alias("level")
-    ranked = _ranked(sketch, keys)
-    quarter = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bin")))
-    table = ranked.groupBy(*keys, "level", "measure").agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
-    least = F.create_map(*[F.lit(x) for m, (spread, _) in MEASURES.items() for x in (m, spread)])
-    both = F.create_map(*[F.lit(x) for m, (_, low) in MEASURES.items() for x in (m, low)])
-    spread = width * F.greatest(F.col("q3") - F.col("q1"), F.element_at(least, F.col("measure")))
-    table = table.select(
-        *keys, "level", "measure", "total", F.when(F.element_at(both, F.col("measure")), F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high")
-    )
-    per_group = table.groupBy(*keys, "level").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}") for m in MEASURES for x in ("low", "high")],
-    )
-    bounds = F.struct(*[f"{m}_{x}" for m in MEASURES for x in ("low", "high")])
-    # Every finest group asks its own sketch and the ones above it, and takes the finest that is large enough.
-    asked = per_group.filter(F.col("level") == groups).select(*[F.col(k).alias(f"own_{k}") for k in keys], levels.alias("at"))
-    asked = asked.select("*", *[F.when(F.col("at") > i, F.col(f"own_{k}")).alias(f"asked_{k}") for i, k in enumerate(keys)])
-    on = F.col("at") == F.col("level")
-    for k in keys:
-        on &= F.col(f"asked_{k}").eqNullSafe(F.col(k))
-    met = asked.join(per_group, on).filter((F.col("total") >= min_docs) | (F.col("level") == 0))
-    best = met.groupBy(*[f"own_{k}" for k in keys]).agg(F.max_by(bounds, F.col("level")).alias("best"))
-    return best.select(*[F.col(f"own_{k}").alias(k) for k in keys], "best.*")
-
-
-def judged(measures: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
-    """``measures`` with ``kept``: inside every fence of its group and not failed by the base rules.
-
-    The fences are joined by value; Spark broadcasts them only when their measured size allows it.
-    """
-    on = F.lit(True)
-    for i, g in enumerate(groups):
-        on &= measures[g].eqNullSafe(bounds[f"g{i}"])
-    inside = ~F.col("base_failed")
-    for m, (_, low) in MEASURES.items():
-        inside &= F.col(m) <= F.col(f"{m}_high")
-        if low:
-            inside &= F.col(m) >= F.col(f"{m}_low")
-    joined = measures.join(bounds, on, "left")
-    names = [c for c in measures.columns if c != "kept"]
-    return joined.select(*[measures[c] for c in names], F.coalesce(inside, F.lit(False)).alias("kept"))
-
-
 def distinct_texts(measures: DataFrame, groups: list[str], text_key: str) -> DataFrame:
     """Groups, base verdict and measures of every text of a group once; ``text_key`` tells texts apart."""
     return measures.select(*groups, text_key, "base_failed", *MEASURES).distinct()
@@ -266,7 +213,7 @@ def judged_by_sketch(measures: DataFrame, bounds: DataFrame, groups: list[str],
     for i, g in enumerate(groups):
         on &= measures[g].eqNullSafe(bounds[f"g{i}"])
     inside = ~F.col("base_failed")
-    for m, (_, both) in MEASURES.items():
+    for m, both in MEASURES.items():
         low, mid, high = (F.col(f"{m}_sketch.{x}") for x in ("low", "mid", "high"))
         least = F.greatest(F.lit(LEAST_RATE), F.expr(EVENTS[m]))
         inside &= F.col(m) <= high + width * F.greatest(high - mid, least)
@@ -274,3 +221,9 @@ def judged_by_sketch(measures: DataFrame, bounds: DataFrame, groups: list[str],
             inside &= F.col(m) >= low - width * F.greatest(mid - low, least)
     names = [c for c in measures.columns if c != "kept"]
     return measures.join(bounds, on, "left").select(*[measures[c] for c in names], F.coalesce(inside, F.lit(False)).alias("kept"))
+
+
+def verdicts(measures: DataFrame, groups: list[str], text_key: str, min_docs: int = 100) -> DataFrame:
+    """``measures`` with ``kept``: not failed by the base rules, and inside the fences of their group's sketch."""
+    bounds = upper_fences(sketches(distinct_texts(measures, groups, text_key), groups), len(groups), min_docs)
+    return judged_by_sketch(measures, bounds, groups)

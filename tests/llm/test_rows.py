@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 
 from pagegauge.llm import byte_bpe, decontaminate, quality, token_counts
+from pagegauge.llm.base import fingerprint
 
 SPACE = " \t\n\v\f\r"
 
@@ -153,10 +154,9 @@ def test_counts_and_verdicts(make, prose):
         (None, prose(50, 70)), (7, prose(7, 80)), (105, prose(51, 4000)), (106, "a b"), (107, "x" * 50000),
     ]
     docs = make(rows)
-    measures = quality.measured(docs)
+    measures = quality.measured(docs.withColumn("text_key", fingerprint(docs["text"])))
     assert {"row", "hits", "lang"} <= set(measures.columns)
-    groups = ["lang", "source"]
-    got = quality.judged(measures, quality.fences(quality.sketches(measures, groups), 2, min_docs=10), groups).collect()
+    got = quality.verdicts(measures, ["lang", "source"], "text_key", min_docs=10).collect()
     assert len(got) == len(rows)
     want = sorted(str((d, *plain_quality(t))) for d, t in rows if d != 105)
     assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got if r.doc_id != 105) == want
@@ -168,11 +168,23 @@ def test_counts_and_verdicts(make, prose):
 def test_null_groups_and_empty_table(spark, make, prose):
     docs = make([(i, prose(i, 80)) for i in range(4)]).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
     for table, count in ((docs, 4), (docs.limit(0), 0)):
-        measures = quality.measured(table)
-        got = quality.judged(measures, quality.fences(quality.sketches(measures, ["lang", "source"]), 2), ["lang", "source"])
+        measures = quality.measured(table.withColumn("text_key", fingerprint(table["text"])))
+        got = quality.verdicts(measures, ["lang", "source"], "text_key")
         assert got.filter("kept").count() == count
 
 
+def test_only_the_sketch_rejects(make, prose):
+    """Word lists with a bar after two words of five pass every base rule, and would pass among their like."""
+    listed = lambda seed: " ".join(w + (" |" if i % 5 < 2 else "") for i, w in enumerate(prose(seed, 120).split()))
+    odd = [(2 * (200 + i), listed(300 + i)) for i in range(6)]
+    plain = [(2 * i, prose(i, 80)) for i in range(120)]
+    for rows, rejected in ((plain + odd, {d for d, _ in odd}), (odd, set())):
+        docs = make(rows)
+        got = quality.verdicts(quality.measured(docs.withColumn("text_key", fingerprint(docs["text"]))), ["lang", "source"], "text_key").collect()
+        assert not any(r.base_failed for r in got)
+        assert {r.doc_id for r in got if not r.kept} == rejected
+
+
 def test_merged_sketches_are_the_sketch_of_all(spark, make, prose):
     docs = [make([(i, prose(i, 60 + i)) for i in range(a, b)]) for a, b in ((0, 9), (9, 20))]
     parts = [quality.sketches(quality.measured(d), ["lang"]) for d in docs]
