@@ -6,7 +6,6 @@ Neighbour sums run over rows and then over columns, so a task holds at most one
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
