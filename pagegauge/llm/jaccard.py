@@ -13,7 +13,8 @@ Candidates are verified on the shingles themselves. Only links between different
 so the members of an entry are first compared with the smallest of them. Then every pair of members
 of one entry that are still in different components is verified: no link is lost, and groups of
 copies never become all pairs. Before a pair's texts meet, the parities of both sets (a bound on what they
-differ by) must allow it.
+differ by) must allow it: first those over ``BITS`` places, which the index entries carry, then, for
+sets that fill these, those over as many places as half the set's size, a few bytes in the place of a text.
 
 Shingles are 64-bit hashes. The list of frequent shingles is broadcast; its length is bounded
 (``FREQUENT_LIMIT``), as a shingle must have a fixed share of all.
@@ -40,6 +41,7 @@ FREQUENT_LEAST = 48
 COUNT_CHUNK = 1 << 21
 #: Sets up to this size index pairs of frequent shingles, larger ones single shingles.
 PAIRS_UPTO = 256
+#: Places of the parities that travel with the index entries; larger sets have wider ones beside them.
 BITS = 512
 GROUP = 256
 
@@ -54,6 +56,18 @@ def shared_in_prefix(n: int, percent: int) -> int:
     return max(1, min(needed(n, percent), 2 + n // 40))
 
 
+def places(n: int) -> int:
+    """Places of a set's parities: a power of two of at least half its size. Unlike sets differ in a
+    quarter of them or more, at every size, and the bound allows fewer for sets that are alike."""
+    return max(BITS, 1 << (max(1, -(-n // 2)) - 1).bit_length())
+
+
+def parities(own: np.ndarray, width: int) -> np.ndarray:
+    """Parity of the number of shingles at each place, packed; halves of it fold onto fewer places by xor."""
+    odd = (np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, n: int, lower: bool, stage: Stage) -> list[tuple[int, int]]:
     """Shingles with a share of all over a bound, and their counts (within one per counted chunk)."""
 
@@ -90,25 +104,26 @@ def frequent_shingles(docs: DataFrame, n: int, lower: bool, stage: Stage) -> lis
 
 
 def signed_sets(docs: DataFrame, frequent: list[tuple[int, int]], n: int, percent: int, lower: bool) -> DataFrame:
-    """doc_id, size of the set, two fingerprints of it, the parity of its shingles over ``BITS`` places,
-    and the rare and the frequent part of its prefix."""
+    """doc_id, size of the set, two fingerprints of it, the parity of its shingles over ``BITS`` places
+    and (``wide``, where there are more) over ``places``, and the rare and the frequent part of its prefix."""
     spark = docs.sparkSession
     tokens = np.array([t for _, t in frequent], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n bigint, f1 bigint, f2 bigint, bits array<bigint>, rare array<bigint>, often array<bigint>"
+    schema = f"doc_id {id_type}, n bigint, f1 bigint, f2 bigint, bits array<bigint>, wide array<bigint>, rare array<bigint>, often array<bigint>"
 
     def step(batch: pa.RecordBatch):
         known, rank = shared.value
-        sizes, f1, f2, bits, rare, often = [], [], [], [], [], []
+        sizes, f1, f2, bits, wide, rare, often = [], [], [], [], [], [], []
         for own in shingle_sets(words_of(batch.column("text"), lower), n):
             size = len(own)
             sizes.append(size)
             f1.append(mix(own).sum(dtype=np.uint64))
             f2.append(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            odd = (np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-            bits.append(np.packbits(odd).view(np.int64))
+            bits.append(parities(own, BITS))
+            width = places(size)
+            wide.append(parities(own, width) if width > BITS else None)
             length = min(size, size - needed(size, percent) + shared_in_prefix(size, percent))
             if len(known) and size:
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -125,6 +140,7 @@ def signed_sets(docs: DataFrame, frequent: list[tuple[int, int]], n: int, percen
             "f1": np.array(f1, dtype=np.uint64).view(np.int64),
             "f2": np.array(f2, dtype=np.uint64).view(np.int64),
             "bits": bits,
+            "wide": wide,
             "rare": rare,
             "often": often,
         }
@@ -214,7 +230,7 @@ def similar_groups(
     classes = stage.keep(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     plain = sets.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     member = stage.keep(plain.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "members")
-    first = full.join(classes.withColumn("doc_id", F.col("node")), ["f1", "f2", "doc_id"]).select("node", "n", "bits", "rare", "often")
+    first = full.join(classes.withColumn("doc_id", F.col("node")), ["f1", "f2", "doc_id"]).select("node", "n", "bits", "wide", "rare", "often")
     nodes = stage.keep(first, "nodes")
     stage.drop("sets")
     entries = stage.keep(index_entries(nodes, percent, stage), "entries-all")
@@ -224,6 +240,7 @@ def similar_groups(
     stage.drop("entries-all")
     candidates = posting.select("node").distinct()
     bits = stage.keep(nodes.select("node", *[F.get("bits", F.lit(i)).alias(f"p{i}") for i in range(BITS // 64)]).join(candidates, "node"), "bits")
+    wide = stage.keep(nodes.filter("wide IS NOT NULL").select("node", "n", "wide").join(candidates, "node"), "wide")
     stage.drop("nodes")
     texts = stage.keep(own.join(candidates, own["doc_id"] == candidates["node"]).select("node", "text"), "texts")
     # Rows of one identifier with different texts belong together.
@@ -232,6 +249,7 @@ def similar_groups(
     at = posting.withColumn("label", F.col("node"))
     known = at.join(bits, "node")
     pairs = stage.keep(_center_pairs(known, percent), "pairs-0")
+    pairs = stage.keep(_not_told_apart(pairs, wide, percent), "near-0")
     links = links.unionByName(stage.keep(verified(pairs, texts, n, percent, lower), "links-0"))
     labels = components(links, stage, "labels-0")
     # Entries whose members are still in different components.
@@ -240,6 +258,7 @@ def similar_groups(
     mixed = at.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
     mixed = stage.keep(mixed, "mixed")
     pairs = stage.keep(_all_pairs(at.join(mixed, "sig").join(bits, "node"), percent), "pairs-1")
+    pairs = stage.keep(_not_told_apart(pairs, wide, percent), "near-1")
     new = stage.keep(verified(pairs, texts, n, percent, lower), "links-1")
     if not new.isEmpty():
         labels = components(links.unionByName(new), stage, "labels-1")
@@ -258,6 +277,34 @@ def _near(percent: int) -> F.Column:
     return fits & (differ * (100 + percent) <= (F.col("n") + F.col("c_n")) * (100 - percent))
 
 
+def _not_told_apart(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wide parities of both sets allow; pairs without two of them pass.
+
+    Of two widths the wider is folded onto the other. Sets in many pairs are met as any hot key: both
+    sides of the joins are written tables.
+    """
+    a = wide.select("node", F.col("n").alias("a_n"), F.col("wide").alias("a"))
+    b = wide.select(F.col("node").alias("center"), F.col("n").alias("b_n"), F.col("wide").alias("b"))
+    met = pairs.join(a, "node", "left").join(b, "center", "left").select("node", "center", "a_n", "b_n", "a", "b")
+
+    def step(batch: pa.RecordBatch):
+        sizes = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)
+        keep = []
+        for (m, n), x, y in zip(sizes, batch.column("a"), batch.column("b"), strict=True):
+            if m is None or n is None:
+                keep.append(True)
+                continue
+            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            least = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+            differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            keep.append(differ * (100 + percent) <= (m + n) * (100 - percent))
+        kept = batch.select(["node", "center"]).filter(pa.array(keep, pa.bool_()))
+        return {"node": kept.column("node"), "center": kept.column("center")}
+
+    return mapped(met, "node bigint, center bigint", step)
+
+
 def _as_center(at: DataFrame) -> list[F.Column]:
     return [F.col("node").alias("center"), *[F.col(c).alias(f"c_{c}") for c in at.columns if c not in ("sig", "node")]]
 

@@ -184,6 +184,38 @@ def test_groups_of_a_plain_search(monkeypatch, make, prose, frequent, pairs_upto
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == plain_groups(rows, 4, 85)
 
 
+def test_large_sets_are_told_apart_by_wide_parities(make, prose):
+    """Texts on both sides of a doubling of the places, with common passages that make them candidates."""
+    rng = random.Random(9)
+    rows = []
+    shared = prose(900, 500)
+    for c in range(4):
+        words = prose(700 + c, 1545).split()
+        for i in range(4):
+            rows.append((100 * c + i, f"{' '.join(words)} {shared}"))
+            for _ in range(1 + 25 * (i > 1)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(50)}"
+            words += prose(40 * c + i, 9).split()
+    got = jaccard.similar_groups(make(rows), n=4, percent=85).collect()
+    sizes = {jaccard.places(r.n_shingles) for r in got}
+    assert len(sizes) == 2 and min(sizes) > jaccard.BITS
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == plain_groups(rows, 4, 85)
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(4)
+    for n, m, both in [(1100, 1200, 1000), (2040, 2060, 2000), (5000, 5000, 0), (1500, 3000, 1400)]:
+        pool = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        a, b = jaccard.parities(pool[:n], jaccard.places(n)), jaccard.parities(pool[n - both :], jaccard.places(m))
+        least = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (a, b))
+        assert np.array_equal(a, jaccard.parities(pool[:n], least * 64))
+        differ = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+        assert differ <= n + m - 2 * both
+        if not both:
+            assert differ * 185 > 15 * (n + m)
+
+
 def test_groups_of_no_documents(make):
     assert jaccard.similar_groups(make([])).count() == 0
 
