@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from pagegauge.llm import byte_bpe, decontaminate, quality, token_counts
 from pagegauge.llm.base import fingerprint
@@ -130,6 +131,20 @@ def test_hits_are_those_of_a_plain_search(spark, make, prose, block_bytes):
             assert len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", piece)) == h.word_to - h.word_from
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 60])
+def test_clean_rows_keep_all_their_columns(spark, make, prose, block_bytes):
+    items = [(f"i{i}", prose(40 + i, 12)) for i in range(4)]
+    bench = spark.createDataFrame([*items, (None, prose(44, 12)), ("none", None)], "item_id string, text string")
+    bad = [(1, f"x {items[2][1]} y"), (2, prose(44, 12)), (3, re.sub("[a-z]", lambda m: m[0].upper(), items[0][1])), (3, f"{prose(9, 30)} {items[3][1]}")]
+    good = [(3, prose(50, 40)), (3, prose(50, 40)), (4, None), (5, ""), (None, prose(51, 20)), (6, " ".join(items[1][1].split()[:9]))]
+    docs = make(bad + good).select("doc_id", "text").withColumn("hits", F.lit("kept")).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = decontaminate.uncontaminated(docs, bench, block_bytes=block_bytes)
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text, r.hits, r.m)) for r in got.collect()) == sorted(str((*r, "kept", {"a": 1})) for r in good)
+    assert decontaminate.uncontaminated(docs.limit(0), bench).count() == 0
+    assert decontaminate.uncontaminated(docs, bench.limit(0)).count() == len(bad + good)
+
+
 def test_no_items_and_no_documents(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.benchmark_hits(make([(1, "a b")]), none).collect()] == [0]
