@@ -27,9 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     which their sketch decides (``quality.upper_fences``; op10 has the fences that its SQL states)."""
     ready(spark)
     whole = docs.select("text", *GROUPS, F.struct(*docs.columns).alias("doc"), fingerprint(F.col("text")).alias("text_key"))
-    rows = Stage(spark).keep(quality.measured(whole).drop("text"), "measures")
+    stage = Stage(spark)
+    rows = stage.keep(quality.measured(whole).drop("text"), "measures")
+    # Written, so that the join knows how small the fences are.
     bounds = quality.upper_fences(quality.sketches(quality.distinct_texts(rows, GROUPS, "text_key"), GROUPS), len(GROUPS))
-    return quality.judged_by_sketch(rows, bounds, GROUPS).filter("kept").select("doc.*")
+    return quality.judged_by_sketch(rows, stage.keep(bounds, "fences"), GROUPS).filter("kept").select("doc.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +56,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a ten-word window of a benchmark item go."""
+    """Documents with a ten-word window of a benchmark item go. Every row is judged by its own text, also
+    rows of one identifier; the other columns pass through the scan under their names."""
     ready(spark)
-    hits = decontaminate.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_row=True)
-    bad = hits.filter("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
-    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (fingerprint(docs["text"]) == bad["bad_row"])
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document under the public byte-level vocabulary, and digests of ids and decoded bytes."""
+    """Ids of every document under the public byte-level vocabulary, and digests of ids and decoded bytes;
+    a row for each row, repeated ones too."""
     ready(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.coded(docs, path, public_tokenizers.PATTERN, keep_ids=True)
