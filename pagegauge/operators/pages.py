@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from pagegauge.operators.detection import rate
 from pagegauge.operators.ordered import ordered
+from pagegauge.session import cut
 
 # Document rules.
 UNDO_MS = 5000
 PDF_OVERHEAD = 1.02
 MAX_PAGES = 20  # that a document is meant to hold
+SAME_CORNER = 1e-6  # two answers are one where every coordinate differs by less
+
+#: Side of the cells in which answers meet, in the distance that makes them the same.
+CELL = 16
 
 
 def commit_removals(events: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -102,3 +107,45 @@ def funnel(events: DataFrame, by: str, at: str, steps: dict[str, Column], width:
     table = reached.agg(F.count("*").alias("sessions"), *[F.count(n).alias(n) for n in names])
     rates = [rate(F.col(n), F.col("sessions")).alias(f"{n}_rate") for n in names]
     return table.select("sessions", *names, *rates)
+
+
+def first_answers(rows: DataFrame, by: list[str], at: list[str], quad: str = "quad") -> DataFrame:
+    """Answers that no earlier one of their key was the same as: ``…by``, ``…at`` and ``corners``.
+
+    The same is within ``SAME_CORNER`` in all eight coordinates, so no rounding edge parts two answers. Equal answers
+    are one from the start. Of those in a box half that wide only the first can be new; it meets the
+    earlier ones in cells ``CELL`` times as wide, to which an answer near a border is copied on both
+    sides. So a key with many repeated answers compares each of them with a few boxes, not with one another.
+
+    A quad that is null or holds a null or non-finite coordinate is one answer for each key, the first of them.
+    Coordinates are shares of the frame. Of answers at one moment the smaller corners count as earlier.
+    """
+    flat = F.flatten(F.transform(quad, lambda p: F.array(p["x"], p["y"])))
+    measured = F.forall(flat, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    keyed = rows.select(*by, F.struct(*at).alias("at"), F.when(measured, flat).alias("corners"))
+    own = cut(keyed.groupBy(*by, "corners").agg(F.min("at").alias("at")))
+    box = F.transform("corners", lambda v: F.floor(v / (SAME_CORNER / 2)))
+    new = own.groupBy(*by, box.alias("box")).agg(F.min(F.struct("at", "corners")).alias("a")).select(*by, "a.*")
+    side = CELL * SAME_CORNER
+    names = [f"__c{i}" for i in range(8)]
+
+    def cell(i: int, slack: float) -> Column:
+        return F.floor((F.get("corners", F.lit(i)) + slack) / side)
+
+    met = own.where(F.col("corners").isNotNull())
+    for i, name in enumerate(names):
+        around = F.sequence(cell(i, -1.001 * SAME_CORNER), cell(i, 1.001 * SAME_CORNER))
+        met = met.select("*", F.explode(around).alias(name))
+    n = new.select("*", *[cell(i, 0.0).alias(name) for i, name in enumerate(names)]).alias("n")
+    o = met.alias("o")
+    same = F.forall(F.zip_with("n.corners", "o.corners", lambda a, b: F.abs(a - b) < SAME_CORNER), lambda near: near)
+    earlier = F.struct("o.at", "o.corners") < F.struct("n.at", "n.corners")
+    on = same & earlier
+    for c in [*by, *names]:
+        on &= F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    # An inner join, of which Spark can split a hot cell on either side; the repeats are then taken out.
+    repeats = n.join(o, on).select(*[F.col(f"n.{c}").alias(c) for c in [*by, "at", "corners"]]).distinct().alias("r")
+    gone = F.lit(True)
+    for c in [*by, "at", "corners"]:
+        gone &= F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return new.alias("f").join(repeats, gone, "left_anti").select(*by, "at.*", "corners")

@@ -509,13 +509,22 @@ def distinct_counts(t: Tables) -> DataFrame:
 
 @query(
     "dedupe_identity",
-    "SELECT count(*) AS answers FROM (SELECT DISTINCT session_id, round(x0, 6), round(y0, 6), round(x1, 6), round(y1, 6), round(x2, 6), round(y2, 6), round(x3, 6), round(y3, 6) FROM fx_readings)",
+    """
+    WITH q AS (SELECT session_id, event_id, t, k % 8 AS place, 0.1 + (k % 8) / 1e2 + value / 1e8 AS x, 0.1 + value / 2e8 AS y FROM fx_samples)
+    SELECT session_id, count(*) AS readings, count(*) FILTER (fresh) AS answers FROM (
+      SELECT session_id, NOT EXISTS (SELECT 1 FROM q b WHERE b.session_id = a.session_id AND b.place = a.place
+          AND (b.t < a.t OR (b.t = a.t AND b.event_id < a.event_id)) AND abs(b.x - a.x) < 1e-6 AND abs(b.y - a.y) < 1e-6) AS fresh FROM q a)
+    GROUP BY session_id
+    """,
 )
 def dedupe_identity(t: Tables) -> DataFrame:
-    """Answers whose corners are all the same to a millionth count once."""
-    rows = b.readings(t)
-    keys = [F.round(g.corner(F.col("quad"), i)[a], 6).alias(f"{a}{i}") for i in range(4) for a in "xy"]
-    return rows.select("session_id", *keys).dropDuplicates().agg(F.count("*").alias("answers"))
+    """Readings of a page that rests in one of eight places, and the answers among them that are new: a
+    reading whose corners all lie within a millionth of an earlier one's is the same answer."""
+    place, value = (F.col("k") % 8) / F.lit(1e2), F.col("value")
+    quad = g.polygon((0.1 + place + value / 1e8, F.lit(0.1)), (F.lit(0.9), 0.1 + value / 2e8), (F.lit(0.9), F.lit(0.9)), (F.lit(0.1), F.lit(0.9)))
+    rows = b.clocked(t).select("session_id", "event_id", "t", quad.alias("quad"))
+    new = pg.first_answers(rows, ["session_id"], ["t", "event_id"]).groupBy("session_id").agg(F.count("*").alias("answers"))
+    return rows.groupBy("session_id").agg(F.count("*").alias("readings")).join(new, "session_id")
 
 
 @query(
