@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagegauge.session import written_once
+
 # What must not appear in a text, by name.
 PATTERNS = {
     "CPF": r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b",
@@ -123,3 +125,15 @@ def natural_key(name: Column) -> Column:
         return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
 
     return F.array_join(F.transform(parts, keyed), "")
+
+
+def pii_verdict(hits: DataFrame, by: str) -> DataFrame:
+    """Hits and documents of each pattern, and of all under a null pattern; one hit refuses.
+
+    The row of all is there for a clean corpus too, and is the verdict: nothing overrides it.
+    """
+    found = written_once(hits.groupBy("pattern", by).agg(F.count("*").alias("n")))
+    counts = F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count("*").alias("documents")
+    each = found.groupBy("pattern").agg(*counts)
+    every = found.groupBy(by).agg(F.sum("n").alias("n")).agg(*counts).select(F.lit(None).cast("string").alias("pattern"), "hits", "documents")
+    return each.unionByName(every).withColumn("refused", F.col("hits") > 0)

@@ -40,12 +40,13 @@ def pii_scan(t: Tables) -> DataFrame:
 
 @query(
     "pii_summary",
-    "SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM fx_pii GROUP BY pattern HAVING count(*) > 0",
+    """
+    SELECT pattern, count(*) AS hits, count(DISTINCT doc_id) AS documents, true AS refused FROM fx_pii GROUP BY pattern
+    UNION ALL SELECT NULL, count(*), count(DISTINCT doc_id), count(*) > 0 FROM fx_pii
+    """,
 )
 def pii_summary(t: Tables) -> DataFrame:
-    hits = tx.pii_hits(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
-    per_document = hits.groupBy("pattern", "doc_id").agg(F.count("*").alias("n"))
-    return per_document.groupBy("pattern").agg(F.sum("n").alias("hits"), F.count("*").alias("documents"))
+    return tx.pii_verdict(tx.pii_hits(spread(t.documents.select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 @query(

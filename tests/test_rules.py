@@ -109,3 +109,10 @@ def test_files_round_trip(spark, tmp_path):
     sinks.write_report(table.withColumn("n", F.lit(4)), out, "detector", "r2")
     got = {r["run_id"]: r["n"] for r in sinks.read_report(spark, out, "detector").collect()}
     assert got == {"r1": 3, "r2": 4}
+
+
+def test_one_hit_refuses_and_a_clean_corpus_has_a_verdict(spark):
+    hits = spark.createDataFrame([(1, "CPF"), (1, "CPF"), (2, "CPF"), (2, "e-mail")], "doc_id long, pattern string")
+    got = {r["pattern"]: (r["hits"], r["documents"], r["refused"]) for r in tx.pii_verdict(hits, "doc_id").collect()}
+    assert got == {"CPF": (3, 2, True), "e-mail": (1, 1, True), None: (4, 2, True)}
+    assert [tuple(r) for r in tx.pii_verdict(hits.limit(0), "doc_id").collect()] == [(None, 0, 0, False)]
