@@ -3,6 +3,7 @@
 import pytest
 
 from pagegauge.operators import fires as fr
+from test_windows import rows_by_session
 
 FIRES = "session_id long, event_id long, t long, false_fire boolean, pageless boolean, covered boolean, page string"
 WINDOWS = "session_id long, kind string, from_t long, to_t long, t string"
@@ -66,3 +67,12 @@ def test_a_session_of_fires_is_summed(spark):
     assert got[3]["fires"] == 0 and got[3]["latency_p50"] is None
     nothing = fr.fire_summary(fr.audit_fires(given[0].where("false"), *given[1:]), sessions.where("false"))
     assert nothing.count() == 0
+
+
+def test_the_sweep_never_deals_rows_out_by_session(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not rows_by_session(fr.audit_fires(*tables(spark)), "session_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
