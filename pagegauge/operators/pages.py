@@ -17,6 +17,8 @@ SAME_CORNER = 1e-6  # two answers are one where every coordinate differs by less
 
 #: Side of the cells in which answers meet, in the distance that makes them the same.
 CELL = 16
+#: Share of a side by which cells are moved, so that no multiple of 1e-4 (frame borders, round shares) lies near a border.
+OFF = 0.125
 
 
 def commit_removals(events: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -126,26 +128,30 @@ def first_answers(rows: DataFrame, by: list[str], at: list[str], quad: str = "qu
     own = cut(keyed.groupBy(*by, "corners").agg(F.min("at").alias("at")))
     box = F.transform("corners", lambda v: F.floor(v / (SAME_CORNER / 2)))
     new = own.groupBy(*by, box.alias("box")).agg(F.min(F.struct("at", "corners")).alias("a")).select(*by, "a.*")
-    side = CELL * SAME_CORNER
     names = [f"__c{i}" for i in range(8)]
-
-    def cell(i: int, slack: float) -> Column:
-        return F.floor((F.get("corners", F.lit(i)) + slack) / side)
-
-    met = own.where(F.col("corners").isNotNull())
-    for i, name in enumerate(names):
-        around = F.sequence(cell(i, -1.001 * SAME_CORNER), cell(i, 1.001 * SAME_CORNER))
-        met = met.select("*", F.explode(around).alias(name))
-    n = new.select("*", *[cell(i, 0.0).alias(name) for i, name in enumerate(names)]).alias("n")
-    o = met.alias("o")
+    n = new.select("*", *[_cell(i, 0.0).alias(name) for i, name in enumerate(names)]).alias("n")
+    o = in_cells(own.where(F.col("corners").isNotNull()), names).alias("o")
     same = F.forall(F.zip_with("n.corners", "o.corners", lambda a, b: F.abs(a - b) < SAME_CORNER), lambda near: near)
     earlier = F.struct("o.at", "o.corners") < F.struct("n.at", "n.corners")
     on = same & earlier
     for c in [*by, *names]:
         on &= F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
-    # An inner join, of which Spark can split a hot cell on either side; the repeats are then taken out.
-    repeats = n.join(o, on).select(*[F.col(f"n.{c}").alias(c) for c in [*by, "at", "corners"]]).distinct().alias("r")
+    # An inner join, of which Spark can split a hot cell on either side; the repeats are then taken out. Both sides
+    # hold every answer, whatever their estimate from the packed input says: they are sorted, not broadcast.
+    repeats = n.join(o.hint("merge"), on).select(*[F.col(f"n.{c}").alias(c) for c in [*by, "at", "corners"]]).distinct().alias("r")
     gone = F.lit(True)
     for c in [*by, "at", "corners"]:
         gone &= F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return new.alias("f").join(repeats, gone, "left_anti").select(*by, "at.*", "corners")
+    return new.alias("f").join(repeats.hint("merge"), gone, "left_anti").select(*by, "at.*", "corners")
+
+
+def _cell(i: int, slack: float) -> Column:
+    return F.floor((F.get("corners", F.lit(i)) + slack) / (CELL * SAME_CORNER) + OFF)
+
+
+def in_cells(answers: DataFrame, names: list[str]) -> DataFrame:
+    """Answers with the cells they may be met in, once for each: their own, and those beyond a border within reach."""
+    for i, name in enumerate(names):
+        around = F.sequence(_cell(i, -1.001 * SAME_CORNER), _cell(i, 1.001 * SAME_CORNER))
+        answers = answers.select("*", F.explode(around).alias(name))
+    return answers

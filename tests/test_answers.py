@@ -50,3 +50,14 @@ def test_first_answers_of_a_plain_search(spark, spread):
     rows += [(1, 300 + i, 1000 + i, rows[i][3]) for i in range(40)]
     got = kept(spark, rows)
     assert got == plain(rows) and 0 < len(got) < len(rows)
+
+
+def test_round_corners_are_in_one_cell_and_nothing_is_broadcast(spark):
+    """Corners at round shares of the frame lie inside their cells; the estimate of a small input moves no table to the driver."""
+    names = [f"c{i}" for i in range(8)]
+    round_ones = [([v / 10000] * 8,) for v in range(0, 10001, 625)] + [([0.1, 0.1, 0.9, 0.1, 0.9, 0.9, 0.1, 0.9],)]
+    met = pg.in_cells(spark.createDataFrame(round_ones, "corners array<double>"), names)
+    assert met.count() == len(round_ones)
+    rows = spark.createDataFrame([(1, 1, 1, [(0.1, 0.1), *REST])], SCHEMA)
+    plan = pg.first_answers(rows, ["session_id"], ["t", "event_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
