@@ -198,3 +198,22 @@ def test_tall_letters_of_one_line_are_linked(spark):
     letters = spark.createDataFrame(rows, "page_id long, node long, x0 double, x1 double, y0 double, y1 double, cy double, height double")
     got = sorted((r["page_id"], r["node"], r["line"]) for r in link_letters(letters, "page_id").collect())
     assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2)]
+
+
+def test_rounds_of_links_shrink(spark, monkeypatch):
+    """A long chain, a wide star and many single nodes: all rounds together write a few times the links, not all nodes each."""
+    from pagegauge.operators import imaging
+
+    written, real = [], imaging.cut
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(imaging, "cut", counted)
+    chain = [("p", i, i + 1) for i in range(300)] + [("p", 900, i) for i in range(400, 700)]
+    nodes = spark.createDataFrame([("p", i) for i in range(4000)], "s string, node long")
+    got = {r["node"]: r["label"] for r in imaging.smallest_reachable(nodes, spark.createDataFrame(chain, "s string, a long, b long"), "s").collect()}
+    assert got == {i: 0 if i <= 300 else 400 if 400 <= i < 700 or i == 900 else i for i in range(4000)}
+    assert sum(written) < 16 * len(chain)
