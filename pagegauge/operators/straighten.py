@@ -100,10 +100,18 @@ def groups() -> Column:
     )
 
 
+#: What the summary reads of a judged page.
+SUMMARIZED = [
+    "family", "quad_mode", "curl", "truth_tilt", "cls", "should_act", "acted", "accepted", "deskewed", "harm", "unverified",
+    "flat_and_straight", "residual_tilt", "residual_bow", "dark_wedge", "painted", "seam", "paint_unmeasured", "reason",
+    "gate_ms", "deskew_ms", "stage_ms",
+]
+
+
 def summarize(judged: DataFrame, errors: DataFrame) -> DataFrame:
     """Counts, rates and percentiles per group; pages that needed work and pages that did not are apart."""
     c = F.col
-    judged = written_once(judged)
+    judged = written_once(judged.select(*SUMMARIZED))
     cls = c("cls")
     needed = c("should_act")
     tilt_only = needed & (F.abs(c("truth_tilt")) >= SHOULD_ACT_DEG) & ~curled()
@@ -195,6 +203,7 @@ def summarize(judged: DataFrame, errors: DataFrame) -> DataFrame:
             Wanted("deskew_ms_p50", "deskew_ms", 0.5, LINEAR),
             Wanted("deskew_ms_p90", "deskew_ms", 0.9, LINEAR),
         ],
+        written=True,
     )
 
 

@@ -217,3 +217,18 @@ def test_rounds_of_links_shrink(spark, monkeypatch):
     got = {r["node"]: r["label"] for r in imaging.smallest_reachable(nodes, spark.createDataFrame(chain, "s string, a long, b long"), "s").collect()}
     assert got == {i: 0 if i <= 300 else 400 if 400 <= i < 700 or i == 900 else i for i in range(4000)}
     assert sum(written) < 16 * len(chain)
+
+
+def test_percentiles_of_a_written_table_shuffle_cells_only(spark):
+    """The same answers as the plain form; no exchange deals out rows by their value before the cells are known."""
+    from pagegauge.operators.percentiles import LINEAR, Wanted, percentiles
+
+    rng = random.Random(3)
+    odd = [None, float("nan"), float("inf"), -2.5, 0.0]
+    rows = [("ab"[i % 2], rng.choice(odd) if i % 9 == 0 else rng.random() * 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    wanted = [Wanted("p50", "m", 0.5, LINEAR), Wanted("p90", "m", 0.9, LINEAR), Wanted("n95", "m", 0.95)]
+    plain, written = (percentiles(df, ["k"], {"m": (df["x"], 0.01)}, wanted, written=w) for w in (False, True))
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, plain.collect()))
+    by_value = [line for line in written._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert by_value and not any("grid#" in line.split("hashpartitioning")[1].split(")")[0] for line in by_value)
