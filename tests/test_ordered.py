@@ -232,3 +232,20 @@ def test_percentiles_of_a_written_table_shuffle_cells_only(spark):
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, plain.collect()))
     by_value = [line for line in written._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
     assert by_value and not any("grid#" in line.split("hashpartitioning")[1].split(")")[0] for line in by_value)
+
+
+def test_a_fold_makes_its_rows_once_and_keeps_long_numbers(spark):
+    """Slices, rounds and outputs read the same written rows; a whole number beside a gap stays whole."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(t):
+        made.add(1)
+        return t
+
+    far = 2**53 + 1
+    rows = [(k, i * 400, 10 * k + i, far if i else None) for k in range(3) for i in range(8)]
+    df = spark.createDataFrame(rows, "k long, t long, event_id long, far long").withColumn("t", counted("t"))
+    out = folds.fold(df, ["k"], ["t", "event_id"], m.RATE_LIMIT, 900).collect()
+    assert made.value == len(rows) == len(out)
+    assert {r["far"] for r in out} == {None, far}
