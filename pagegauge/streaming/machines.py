@@ -79,9 +79,10 @@ def _smooth(state: State, row: tuple) -> tuple:
         state[:] = [t, aspect, values, [0.0] * len(values)]
     elif t > at:
         dt = (t - at) / 1000
+        share = _share(DERIVATIVE_CUTOFF, dt)
         for i, v in enumerate(values):
             raw = (v - smoothed[i]) / dt
-            slopes[i] += _share(DERIVATIVE_CUTOFF, dt) * (raw - slopes[i])
+            slopes[i] += share * (raw - slopes[i])
             smoothed[i] += _share(MIN_CUTOFF + BETA * abs(slopes[i]), dt) * (v - smoothed[i])
         state[0] = t
     return tuple(v / aspect if i % 2 else v for i, v in enumerate(state[2]))
