@@ -47,6 +47,7 @@ view(
 
 
 def audited(t: Tables) -> DataFrame:
+    t = b.with_clock(t)
     log = b.log(t)
     k, session = F.col("k"), F.col("session_id")
     fires = log.where("kind = 'capture'").select(

@@ -76,3 +76,15 @@ def test_the_sweep_never_deals_rows_out_by_session(spark):
         assert not rows_by_session(fr.audit_fires(*tables(spark)), "session_id")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("name", ["auto_fire_audit"])
+def test_the_events_are_clocked_once(spark, sf, name):
+    """What is left to run reads the written clock, not the events, and still agrees with the SQL."""
+    import __spark_entry__ as entry
+    from check import compare, connect
+
+    rows = entry.queries()[name](spark, sf)
+    assert rows.inputFiles() == []
+    problems, _ = compare(rows, connect(sf), entry.oracle_sql()[name])
+    assert not problems, problems
