@@ -106,5 +106,6 @@ def _count(condition: str, name: str) -> str:
     """,
 )
 def auto_fire_summary(t: Tables) -> DataFrame:
+    t = b.with_clock(t)
     rows = written_once(audited(t))
     return fr.fire_summary(rows, b.windows(b.clocked(t)))

@@ -78,7 +78,7 @@ def test_the_sweep_never_deals_rows_out_by_session(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
-@pytest.mark.parametrize("name", ["auto_fire_audit"])
+@pytest.mark.parametrize("name", ["auto_fire_audit", "auto_fire_summary"])
 def test_the_events_are_clocked_once(spark, sf, name):
     """What is left to run reads the written clock, not the events, and still agrees with the SQL."""
     import __spark_entry__ as entry
