@@ -78,8 +78,10 @@ def motion_summary(steps: DataFrame) -> DataFrame:
 def steadiest(steps: DataFrame, frames: int, earliest: int, tail: int) -> DataFrame:
     """Middle frame of the window of ``frames`` whose worst step is smallest; first on ties.
 
-    A frame without an answer breaks every window over it.
+    A frame without an answer breaks every window over it. The steps are written once, so that numbers
+    and windows read plain rows and no quad is compared again for them.
     """
+    steps = written_once(steps.select(KEY, "t", "event_id", "step"))
     numbered = series(steps).step(running={"nth": F.lit(1).cast("bigint")})
     rows = numbered.recent("last_steps", F.col("step"), frames - 1)
     totals = rows.df.groupBy(KEY).agg(F.max("nth").alias("n"))
