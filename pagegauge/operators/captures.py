@@ -48,6 +48,8 @@ def stitch(log: DataFrame) -> DataFrame:
     nothing after the next capture counts.
     """
     kind = F.col("kind")
+    # No other row bears on a capture, and once openings hold what ended them only captures look ahead.
+    log = log.where(kind.isin("capture", "confirm-open", "confirm-done") | F.col("is_refine"))
     rows = ordered(log, [KEY], ["t", "event_id"], SLICE_MS).step(
         ahead={
             "done": F.when(kind == "confirm-done", F.struct("t", "event_id")),
@@ -58,7 +60,7 @@ def stitch(log: DataFrame) -> DataFrame:
     opening = F.struct(
         F.col("t"), F.col("event_id"), F.col("done.t").alias("done_t"), F.col("refine_at").alias("refine_t")
     )
-    rows = rows.step(
+    rows = rows.where(kind.isin("capture", "confirm-open")).step(
         ahead={"open": F.when(kind == "confirm-open", opening)}, lead={"next_t": F.col("capture_at")}
     )
     last_refine = log.where("is_refine").groupBy(KEY).agg(F.max("t").alias("__last_refine"))

@@ -13,6 +13,7 @@ from pagegauge.plans import bindings as b
 from pagegauge.plans import sequences as seq
 from pagegauge.plans.detection import rounded, sql_pct, sql_rate
 from pagegauge.plans.registry import Tables, query, view
+from pagegauge.session import written_once
 
 # ── as-of ────────────────────────────────────────────────────────────────────
 
@@ -277,9 +278,11 @@ def capture_outcomes(t: Tables) -> DataFrame:
 )
 def capture_freeze(t: Tables) -> DataFrame:
     """How far the drawn quad moved between the tap and the confirm screen, and whether it dropped."""
+    t = b.with_clock(t)
     overlay = b.samples(t).where("event_type IN ('view', 'error')")
+    taps = written_once(stitched(t).where("open_t IS NOT NULL").select("session_id", "event_id", "t", "open_t"))
     held = asof(
-        stitched(t).where("open_t IS NOT NULL"),
+        taps,
         overlay,
         ["session_id"],
         "t",
@@ -289,6 +292,7 @@ def capture_freeze(t: Tables) -> DataFrame:
         tie="event_id",
     ).where(F.col("base_t").isNotNull())
     spans = held.select("session_id", F.col("event_id").alias("tap_id"), F.col("t").alias("tap_t"), "open_t", "base_value", "base_k")
+    spans = written_once(spans)
     seen = overlay.select("session_id", F.col("t").alias("at"), F.col("t").alias("at2"), "value", "k", "shown")
     inside = (F.col("at") > F.col("tap_t")) & (F.col("at") < F.col("open_t"))
     pairs = c.interval_join(spans, seen, ["session_id"], ("tap_t", "open_t"), ("at", "at2"), tl.SLICE_MS, inside)
