@@ -79,6 +79,16 @@ def test_lines_of_a_strip_go_on_over_chunks(monkeypatch, at_once):
     assert got == want(rows)
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:]
+
+
+def test_a_fit_deals_letters_out_by_line_once(spark, sf):
+    plan = exchanges(plans.polyfit_quadratic(registry.Tables(prepare(spark), sf)))
+    # The letters, those of lines that go on, and the four of the lines' names.
+    assert len(plan) == 6
+
+
 def test_letters_of_one_id_count_once(spark):
     rows = [(1, 1_000_003, 1, 1.0, 0.0, 0.0), (1, 3, 2, 1.0, 0.0, 0.0), (1, 4, 2, 1.0, 0.0, 0.0)]
     table = spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
