@@ -89,6 +89,12 @@ def test_a_fit_deals_letters_out_by_line_once(spark, sf):
     assert len(plan) == 6
 
 
+def test_medians_of_lines_are_written_before_the_fit(spark, sf):
+    """The shuffles of the medians' cells and values do not stand beside those of the fit."""
+    plan = exchanges(plans.line_validation(registry.Tables(prepare(spark), sf)))
+    assert plan and not any("metric#" in p for p in plan)
+
+
 def test_letters_of_one_id_count_once(spark):
     rows = [(1, 1_000_003, 1, 1.0, 0.0, 0.0), (1, 3, 2, 1.0, 0.0, 0.0), (1, 4, 2, 1.0, 0.0, 0.0)]
     table = spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
